@@ -9,6 +9,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import ship
+
 #: A word is a run of anything but these six ASCII blanks; everything else, other Unicode blanks included, belongs to words.
 BLANKS = r"\x20\x09-\x0D"
 WORD = f"[^{BLANKS}]+"
@@ -65,3 +67,9 @@ def n_words(text: Column) -> Column:
 def let(value: Column, use) -> Column:
     """Bind ``value`` once and use it in ``use``: a lambda variable is evaluated one time per row, an inlined column is not."""
     return F.transform(F.array(value), use)[0]
+
+
+def map_arrow(df: DataFrame, run, schema: str) -> DataFrame:
+    """``df.mapInArrow`` in workers that can import this package."""
+    ship(df.sparkSession)
+    return df.mapInArrow(run, schema)

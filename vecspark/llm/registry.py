@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from . import mixing, quality, sharding, urls
+from . import flatbin, media, mixing, packing, quality, sharding, urls
 
 QUERIES = {
     "op3_hilbert_shards": sharding.op3_hilbert_shards,
     "op4_host_rules": quality.op4_host_rules,
+    "op6_transport_streams": media.op6_transport_streams,
+    "op7_flat_token_files": flatbin.op7_flat_token_files,
+    "op8_concat_and_cut": packing.op8_concat_and_cut,
     "op9_mix_sources": mixing.op9_mix_sources,
     "op10_url_rules": urls.op10_url_rules,
 }

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import map_arrow, table
 
 #: The rules of the query as (verdict, host, path).
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
@@ -102,7 +102,7 @@ def build_filter(listed: DataFrame) -> np.ndarray:
             yield pa.record_batch([pa.array(used), *[pa.array(bits[used, w].view(np.int64)) for w in range(BLOCK_WORDS)]], names=["block", *[f"w{w}" for w in range(BLOCK_WORDS)]])
 
     schema = "block long, " + ", ".join(f"w{w} long" for w in range(BLOCK_WORDS))
-    hashed = listed.select(F.xxhash64("canonical").alias("h")).mapInArrow(fill, schema)
+    hashed = map_arrow(listed.select(F.xxhash64("canonical").alias("h")), fill, schema)
     merged = hashed.groupBy("block").agg(*[F.bit_or(f"w{w}").alias(f"w{w}") for w in range(BLOCK_WORDS)])
     got = merged.toArrow()  # at most MAX_FILTER_BYTES, whatever the list's length
     bits = np.zeros((blocks, BLOCK_WORDS), np.uint64)
@@ -125,7 +125,7 @@ def possible_hits(urls: DataFrame, bits: np.ndarray) -> DataFrame:
             hit = ((table_[block] & masks) == masks).all(axis=1)
             yield batch.filter(pa.array(hit))
 
-    return urls.mapInArrow(probe, urls.schema)
+    return map_arrow(urls, probe, urls.schema)
 
 
 def judge(pages: DataFrame, listed: DataFrame, rules=RULES) -> DataFrame:
