@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import flatbin, media, mixing, packing, quality, sharding, urls
+from . import flatbin, media, mixing, packing, quality, sharding, toxicity, urls
 
 QUERIES = {
     "op3_hilbert_shards": sharding.op3_hilbert_shards,
     "op4_host_rules": quality.op4_host_rules,
+    "op5_toxic_segments": toxicity.op5_toxic_segments,
     "op6_transport_streams": media.op6_transport_streams,
     "op7_flat_token_files": flatbin.op7_flat_token_files,
     "op8_concat_and_cut": packing.op8_concat_and_cut,
