@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import flatbin, media, mixing, packing, quality, sharding, toxicity, urls
+from . import flatbin, html, media, mixing, packing, quality, sharding, toxicity, urls
 
 QUERIES = {
+    "op1_page_text": html.op1_page_text,
     "op3_hilbert_shards": sharding.op3_hilbert_shards,
     "op4_host_rules": quality.op4_host_rules,
     "op5_toxic_segments": toxicity.op5_toxic_segments,
