@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import flatbin, html, media, mixing, packing, quality, sharding, toxicity, urls
+from . import flatbin, html, jaccard, media, mixing, packing, quality, sharding, toxicity, urls
 
 QUERIES = {
     "op1_page_text": html.op1_page_text,
+    "op2_similar_sets": jaccard.op2_similar_sets,
     "op3_hilbert_shards": sharding.op3_hilbert_shards,
     "op4_host_rules": quality.op4_host_rules,
     "op5_toxic_segments": toxicity.op5_toxic_segments,
