@@ -1,7 +1,65 @@
-"""placeholder"""
+"""From raw documents to packed sequences: quality, toxicity, near duplicates, mix, packing.
+
+Each stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame that is written as
+Parquet and read again as the next one's ``docs``. All but the last return the columns of
+``documents``; each works on all rows that the one before kept.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from vecspark.llm import jaccard, mixing, packing, quality, toxicity
+from vecspark.llm.common import materialise, table
+
+#: Tokens come from a library, so SQL cannot express the last stage; tests hold ``run`` against a brute-force version.
 ORACLE_SQL = None
-STAGES = []
+
+TOKENIZER = "word_bpe_49k.json"
+END_ID = 1
+SHINGLE_WORDS = 5
+SIMILAR_PERCENT = 80
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that fail the base rules, or whose host fails the host rules, go."""
+    return quality.reject(docs)
+
+
+def toxic_segments(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents predicted toxic go; the model is fitted on the labelled ones among ``docs``."""
+    return toxicity.reject(docs, table(spark, sf_dir, "labels"))
+
+
+def similar_sets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates stays, that of the smallest id."""
+    return jaccard.keep_one(docs, SHINGLE_WORDS, SIMILAR_PERCENT, 100)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document comes as often as the mix takes it."""
+    return mixing.mix(docs)
+
+
+def concat_and_cut(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of the packed sequences."""
+    import public_tokenizers
+
+    return packing.pack(docs, public_tokenizers.path(TOKENIZER), END_ID)
+
+
+STAGES = [
+    ("quality rules", quality_rules),
+    ("toxicity", toxic_segments),
+    ("n-gram Jaccard join", similar_sets),
+    ("mixing sources to target weights", mix_sources),
+    ("packing", concat_and_cut),
+]
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``; the pieces of the last one."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = materialise(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return docs
