@@ -16,8 +16,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-WINDOW = 4 << 20
-CACHE_ENTRIES = 1_500_000
+WINDOW = 2 << 20
+CACHE_ENTRIES = 800_000
 _SLOT_BITS = 22
 _PROBES = 16
 _RADIX = 0x9E3779B97F4A7C15
@@ -176,10 +176,18 @@ class Encoder:
         return known.ids[source], counts
 
     def encode(self, texts: pa.Array) -> Iterator[np.ndarray]:
-        """The ids (uint32) of each text in turn; null counts as empty."""
+        """The ids (uint32) of each text in turn; null counts as empty. Works on about WINDOW bytes at a time."""
+        sizes = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
+        low = 0
+        while low < len(texts):
+            high = max(low + 1, int(np.searchsorted(sizes, (sizes[low - 1] if low else 0) + WINDOW, "right")))
+            yield from self._encode(texts.slice(low, high - low))
+            low = high
+
+    def _encode(self, texts: pa.Array) -> Iterator[np.ndarray]:
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
         _, offsets, values = texts.buffers()
-        offsets = np.frombuffer(offsets, np.int64)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
+        offsets = np.frombuffer(offsets, np.int64)[texts.offset : texts.offset + len(texts) + 1]
         data = np.frombuffer(values, np.uint8)[offsets[0] : offsets[-1]] if values else np.zeros(0, np.uint8)
         offsets = offsets - offsets[0]
         starts = np.append(cuts(data, offsets), len(data)) if len(data) else np.zeros(1, np.int64)
