@@ -40,6 +40,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from . import bloom
 from .common import map_arrow, materialise, table
 from .components import components
 
@@ -324,7 +325,10 @@ def verify(documents: DataFrame, members: DataFrame, words: int, num: int, den:
     # Blocks are in order of size, so a later block is too large altogether when its smallest set is.
     tasks = left.join(right, "cluster").where(f"i <= j and {den}L * hi >= {num}L * lo").select("cluster", "i", "j")
     sides = tasks.select("cluster", "i", "j", F.explode(F.when(F.col("i") == F.col("j"), F.array(F.struct(F.lit(0).alias("side"), F.col("i").alias("block")))).otherwise(F.array(F.struct(F.lit(0).alias("side"), F.col("i").alias("block")), F.struct(F.lit(1).alias("side"), F.col("j").alias("block"))))).alias("s")).select("cluster", "i", "j", "s.side", "s.block")
-    texts = documents.select(F.col("doc_id").alias("rep"), "text").join(placed, "rep")
+    # Few texts are in a cluster: a bounded filter keeps the others out of the shuffle, the join is exact.
+    bits = bloom.build(placed.select(F.xxhash64("rep").alias("h")))
+    near = bloom.possible(documents.select(F.xxhash64(F.col("doc_id").cast("long")).alias("h"), F.col("doc_id").cast("long").alias("rep"), "text"), bits)
+    texts = near.drop("h").join(placed, "rep")
     work = texts.join(sides, ["cluster", "block"]).select("cluster", "i", "j", "side", "rep", "h1", "h2", "copies", "text")
     parts = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     work = work.repartition(parts, "cluster", "i", "j").sortWithinPartitions("cluster", "i", "j")

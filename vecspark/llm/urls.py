@@ -1,11 +1,8 @@
 """URL filter: rules by host and path, then a listed-URL test by blocked Bloom filter and exact join.
 
-The listed canonical URLs are hashed into a blocked Bloom filter (one 512-bit block a URL,
-BITS_SET bits in it), built per partition of the list and OR-ed. Every URL that no rule
-decides is tested against it; only possible hits are joined with the list, which removes
-false positives. The filter has a stated size limit: above MAX_FILTER_BYTES it would no
-longer fit a broadcast, and the possible hits of a smaller filter are just more; the exact
-join decides in every case, so the size of the filter never changes a result.
+The listed canonical URLs are hashed into a blocked Bloom filter of bounded size. Every URL
+that no rule decides is tested against it; only possible hits are joined with the list,
+which removes false positives, so the size of the filter never changes a result.
 
 Canonical form: scheme dropped, host in lower case without a leading ``www.`` or ``m.``,
 path without a trailing slash, query and fragment dropped.
@@ -17,23 +14,16 @@ gives no rows; extra columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_arrow, table
+from . import bloom
+from .common import table
 
 #: The rules of the query as (verdict, host, path).
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
 #: A listed host lists every URL seen on it or its subdomains.
 LISTED_HOSTS = ("ads-track.example.com", "free-bets.example.net", "cheap-pills.example.net", "spam-farm.example.org", "casino-win.example.net", "adult-x.example.com")
-BLOCK_WORDS = 8
-BITS_SET = 8
-BITS_PER_URL = 16
-MAX_FILTER_BYTES = 64 << 20
 
 
 def parts(url: Column) -> tuple[Column, Column]:
@@ -73,61 +63,6 @@ def listed_urls(pages: DataFrame, hosts=LISTED_HOSTS) -> DataFrame:
     return pages.where(on_list).select(canonical(host, path).alias("canonical")).where("canonical is not null").distinct()
 
 
-def positions(hashes: np.ndarray, blocks: int) -> tuple[np.ndarray, np.ndarray]:
-    """Block of each hash, and the mask of its words: (n,), (n, BLOCK_WORDS)."""
-    h = hashes.view(np.uint64)
-    block = ((h >> np.uint64(32)) * np.uint64(blocks)) >> np.uint64(32)
-    low = h & np.uint64(0xFFFFFFFF)
-    step = (h * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40) | np.uint64(1)
-    masks = np.zeros((len(h), BLOCK_WORDS), np.uint64)
-    rows = np.arange(len(h))
-    for k in range(BITS_SET):
-        bit = (low + np.uint64(k) * step) % np.uint64(64 * BLOCK_WORDS)
-        masks[rows, (bit >> np.uint64(6)).astype(np.int64)] |= np.uint64(1) << (bit & np.uint64(63))
-    return block.astype(np.int64), masks
-
-
-def build_filter(listed: DataFrame) -> np.ndarray:
-    """Blocked Bloom filter of column ``canonical``: (blocks, BLOCK_WORDS) of bits, MAX_FILTER_BYTES at most."""
-    wanted = max(1, -(-listed.count() * BITS_PER_URL // (64 * BLOCK_WORDS)))
-    blocks = min(wanted, MAX_FILTER_BYTES // (8 * BLOCK_WORDS))
-
-    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.zeros((blocks, BLOCK_WORDS), np.uint64)
-        for batch in batches:
-            block, masks = positions(batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64), blocks)
-            np.bitwise_or.at(bits, block, masks)
-        used = np.flatnonzero(bits.any(axis=1))
-        if len(used):
-            yield pa.record_batch([pa.array(used), *[pa.array(bits[used, w].view(np.int64)) for w in range(BLOCK_WORDS)]], names=["block", *[f"w{w}" for w in range(BLOCK_WORDS)]])
-
-    schema = "block long, " + ", ".join(f"w{w} long" for w in range(BLOCK_WORDS))
-    hashed = map_arrow(listed.select(F.xxhash64("canonical").alias("h")), fill, schema)
-    merged = hashed.groupBy("block").agg(*[F.bit_or(f"w{w}").alias(f"w{w}") for w in range(BLOCK_WORDS)])
-    got = merged.toArrow()  # at most MAX_FILTER_BYTES, whatever the list's length
-    bits = np.zeros((blocks, BLOCK_WORDS), np.uint64)
-    if got.num_rows:
-        at = got.column("block").to_numpy()
-        for w in range(BLOCK_WORDS):
-            bits[at, w] = got.column(f"w{w}").to_numpy().view(np.uint64)
-    return bits
-
-
-def possible_hits(urls: DataFrame, bits: np.ndarray) -> DataFrame:
-    """Rows of ``urls`` (h long, ...) whose hash may be listed."""
-    held = urls.sparkSession.sparkContext.broadcast(bits)
-    at = urls.columns.index("h")
-
-    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table_ = held.value
-        for batch in batches:
-            block, masks = positions(batch.column(at).to_numpy(zero_copy_only=False).astype(np.int64), len(table_))
-            hit = ((table_[block] & masks) == masks).all(axis=1)
-            yield batch.filter(pa.array(hit))
-
-    return map_arrow(urls, probe, urls.schema)
-
-
 def judge(pages: DataFrame, listed: DataFrame, rules=RULES) -> DataFrame:
     """page_id, host, path, rule, verdict, listed: one row for each row of ``pages``."""
     host, path = parts(F.col("url"))
@@ -135,7 +70,7 @@ def judge(pages: DataFrame, listed: DataFrame, rules=RULES) -> DataFrame:
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
     ruled = split.withColumn("canonical", canonical(F.col("host"), F.col("path"))).withColumn("rule", rule).withColumn("ruled", verdict)
     open_ = ruled.where("rule is null and canonical is not null").select("canonical").distinct().withColumn("h", F.xxhash64("canonical"))
-    hits = possible_hits(open_, build_filter(listed)).select("canonical").join(listed.select("canonical").distinct(), "canonical", "left_semi")
+    hits = bloom.possible(open_, bloom.build(listed.select(F.xxhash64("canonical").alias("h")))).select("canonical").join(listed.select("canonical").distinct(), "canonical", "left_semi")
     marked = ruled.join(hits.withColumn("listed", F.lit(True)), "canonical", "left")
     found = F.coalesce(F.col("listed"), F.lit(False))
     return marked.select("page_id", "host", "path", "rule", F.coalesce("ruled", F.when(found, "block").otherwise("allow")).alias("verdict"), found.alias("listed"))
