@@ -10,6 +10,7 @@ could be cut apart) are encoded whole.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,7 +18,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 WINDOW = 2 << 20
-CACHE_ENTRIES = 800_000
+CACHE_ENTRIES = 1_600_000
+TABLE_BYTES = 256 << 20
 _SLOT_BITS = 22
 _PROBES = 16
 _RADIX = 0x9E3779B97F4A7C15
@@ -29,6 +31,10 @@ _STOP = np.zeros(256, bool)
 _STOP[list(b",.;:!?")] = True
 _PLAIN = np.zeros(256, bool)
 _PLAIN[list(b"0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz")] = True
+#: ASCII capitals to small letters, ASCII blanks to spaces.
+_FOLD = np.arange(256, dtype=np.uint8)
+_FOLD[65:91] += 32
+_FOLD[_BLANK] = 32
 #: Bytes that can begin a blank outside ASCII, or are one of the separators 28 to 31.
 _RARE = np.zeros(256, bool)
 _RARE[[0x1C, 0x1D, 0x1E, 0x1F, 0xC2, 0xE1, 0xE2, 0xE3]] = True
@@ -64,6 +70,14 @@ def cuts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.flatnonzero(start)
 
 
+def folds(spec: dict) -> bool:
+    """Whether a tokenizer lower-cases its text and drops blanks, so that pieces may be folded before they are looked up."""
+    normal, before = spec.get("normalizer") or {}, spec.get("pre_tokenizer") or {}
+    lowers = "Lowercase" in [n["type"] for n in normal.get("normalizers", [])]
+    first = (before.get("pretokenizers") or [{}])[0]
+    return lowers and first.get("type") == "Split" and first.get("behavior") == "Removed" and bool(first.get("invert"))
+
+
 class Pieces:
     """Table of known pieces: bytes and ids by 64-bit hash, open addressing in numpy arrays."""
 
@@ -71,8 +85,8 @@ class Pieces:
         self.slots = np.full(1 << _SLOT_BITS, -1, np.int32)
         self.n = self.n_bytes = self.n_ids = 0
         self.key = np.zeros(1 << 16, np.uint64)
-        self.begin, self.length = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
-        self.first, self.count = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
+        self.begin, self.length = np.zeros(1 << 16, np.int32), np.zeros(1 << 16, np.int32)
+        self.first, self.count = np.zeros(1 << 16, np.int32), np.zeros(1 << 16, np.int32)
         self.bytes, self.ids = np.zeros(1 << 20, np.uint8), np.zeros(1 << 18, np.uint32)
 
     def _slot(self, keys: np.ndarray, probe: int) -> np.ndarray:
@@ -97,7 +111,7 @@ class Pieces:
 
     @staticmethod
     def _grown(array: np.ndarray, need: int) -> np.ndarray:
-        return array if need <= len(array) else np.concatenate([array, np.zeros(max(need, 2 * len(array)) - len(array), array.dtype)])
+        return array if need <= len(array) else np.concatenate([array, np.zeros(max(need, len(array) * 3 // 2) - len(array), array.dtype)])
 
     def add(self, keys: np.ndarray, raw: np.ndarray, lengths: np.ndarray, ids: np.ndarray, counts: np.ndarray) -> np.ndarray:
         """Add distinct unknown keys; their entries. An entry that finds no slot stays usable by its number only."""
@@ -132,6 +146,7 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.folds = folds(json.loads(self.tokenizer.to_str()))
         self.known = Pieces()
         self.up = self.down = np.zeros(0, np.uint64)
 
@@ -152,7 +167,7 @@ class Encoder:
         np.cumsum(run, out=run)
         key = (run[bounds[1:]] - run[begin]) * self.down[begin]
         key = (key ^ key >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9)
-        if self.known.n > CACHE_ENTRIES:
+        if self.known.n > CACHE_ENTRIES or self.known.n_bytes + n > TABLE_BYTES:
             self.known = Pieces()
         known = self.known
         entry = known.find(key)
@@ -190,6 +205,8 @@ class Encoder:
         offsets = np.frombuffer(offsets, np.int64)[texts.offset : texts.offset + len(texts) + 1]
         data = np.frombuffer(values, np.uint8)[offsets[0] : offsets[-1]] if values else np.zeros(0, np.uint8)
         offsets = offsets - offsets[0]
+        if self.folds:
+            data = _FOLD[data]
         starts = np.append(cuts(data, offsets), len(data)) if len(data) else np.zeros(1, np.int64)
         pending: list[np.ndarray] = []
         text, at = 0, 0
