@@ -106,7 +106,8 @@ class ProductQuantizer:
         from ..session import ship
 
         ship(df.sparkSession)
-        rows = df.orderBy(F.md5(F.to_json(F.struct(*[c for c in df.columns if c != column])).cast("binary"))).limit(limit).select(F.col(column).alias("v"))
+        keys = [c for c in df.columns if c != column] or [column]
+        rows = df.orderBy(F.md5(F.to_json(F.struct(*keys)).cast("binary"))).limit(limit).select(F.col(column).alias("v"))
         subs = rows.select(F.explode(F.transform(F.sequence(F.lit(0), F.lit(config.n_subvectors - 1)), lambda m: F.struct(m.alias("sub"), V.subvector(V.as_double(F.col("v")), m, config.width).alias("x")))).alias("s")).select("s.sub", "s.x")
 
         def fit(table: pa.Table) -> pa.Table:
