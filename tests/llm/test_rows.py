@@ -142,3 +142,13 @@ def test_against_sql(spark, sf_dir, name, module):
     query = {"OP4_SQL": quality.op4_host_rules, "OP9_SQL": mixing.op9_mix_sources, "OP10_SQL": urls.op10_url_rules}[name]
     df, rel = query(spark, sf_dir), con.sql(getattr(module, name))
     assert as_set(df.select(*rel.columns).collect()) == as_set(rel.fetchall())
+
+
+def test_long_lists_of_bad_hosts_are_salted(spark, monkeypatch):
+    words = " ".join(f"w{i}" for i in range(80))
+    rows = [(i, words if i % 20 == 0 else "x", "en", f"bad{i % 3}" if i % 7 else None, 1) for i in range(600)] + [(1000 + i, words, "en", f"h{i % 9}", 1) for i in range(200)]
+    df = documents(spark, rows)
+    want = as_set(quality.judge(df).collect())
+    monkeypatch.setattr(quality, "MAX_BROADCAST_HOSTS", 1)
+    assert as_set(quality.judge(df).collect()) == want
+    assert {r.doc_id for r in quality.reject(df).collect()} == set(range(1000, 1200))

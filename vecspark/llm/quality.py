@@ -6,10 +6,10 @@ themselves (method of moments), and a host whose shrunk rate of any rule reaches
 HOST_LIMIT is rejected; the verdict is joined back to its documents.
 
 Native expressions only: words, windows and lines are arrays of one row, counted by
-sorting 64-bit hashes of the row's own windows. Texts are read once; the counts (a few
-numbers a row) are written to the shared folder and used for both the sums and the
-join. Sums per host are partial in every task, so a host with a third of all rows is no
-hot group; only rejected hosts are joined back.
+sorting 64-bit hashes of the row's own windows. Texts are measured once; the counts are
+written to the shared folder and used for both the sums and the join. Sums per host are
+partial in every task, so a host with a third of all rows is no hot group; only rejected
+hosts are joined back, by broadcast while they are few and salted beyond.
 
 Defined results: null text has no words and fails; null source is a host of its own;
 rows are judged one by one, so repeated rows and ids give the same verdict each; an empty
@@ -29,6 +29,8 @@ MIN_WORDS = 50
 REPEAT_PERCENT = 50
 #: A host is rejected when more than half of its documents are expected to fail a rule.
 HOST_LIMIT = 0.5
+MAX_BROADCAST_HOSTS = 10_000
+SALTS = 64
 RULES = ("too_short", "repetitive", "symbols", "dup_lines")
 
 
@@ -86,21 +88,35 @@ def rejected_hosts(measured: DataFrame) -> DataFrame:
     return shrunk.where(F.col("rate") >= HOST_LIMIT).select("host").distinct()
 
 
+def mark_hosts(rows: DataFrame, column: str, bad: DataFrame, out: str) -> DataFrame:
+    """``rows`` with ``out``: whether the host is in ``bad`` (host, once each).
+
+    A short list is broadcast; a long one is dealt to SALTS copies, so a hot host is many groups.
+    """
+    listed = bad.select(F.struct("host").alias("__bad"), F.lit(True).alias(out))
+    key = F.struct(F.col(column).alias("host")) == F.col("__bad")
+    if bad.limit(MAX_BROADCAST_HOSTS + 1).count() <= MAX_BROADCAST_HOSTS:
+        marked = rows.join(F.broadcast(listed), key, "left")
+    else:
+        dealt = listed.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        own = rows.withColumn("__own", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
+        marked = own.join(dealt, key & (F.col("__own") == F.col("__salt")), "left")
+    return marked.select(*[F.col(f"`{c}`") for c in rows.columns], F.coalesce(out, F.lit(False)).alias(out))
+
+
 def judge(documents: DataFrame) -> DataFrame:
     """(doc_id, host, m, base_failed, kept): one row for each row of ``documents``."""
     measured = materialise(documents.select("doc_id", F.col("source").alias("host"), measures(F.col("text")).alias("m")), "quality")
-    bad = rejected_hosts(measured).select(F.col("host").alias("bad_host"), F.lit(True).alias("bad"))
-    judged = measured.join(bad, measured["host"].eqNullSafe(bad["bad_host"]), "left").withColumn("base_failed", base_failed("m"))
-    return judged.select("doc_id", "host", "m", "base_failed", (~F.col("base_failed") & F.col("bad").isNull()).alias("kept"))
+    bad = materialise(rejected_hosts(measured), "hosts")
+    judged = measured.withColumn("base_failed", base_failed("m"))
+    return mark_hosts(judged, "host", bad, "__shut").select("doc_id", "host", "m", "base_failed", (~F.col("base_failed") & ~F.col("__shut")).alias("kept"))
 
 
 def reject(documents: DataFrame) -> DataFrame:
-    """The rows of ``documents`` that are kept, with its columns."""
-    measured = documents.withColumn("__m", measures(F.col("text")))
-    small = materialise(measured.select(F.col("source").alias("host"), F.col("__m").alias("m")), "quality")
-    bad = rejected_hosts(small).select(F.col("host").alias("__bad"))
-    passed = measured.where(~base_failed("__m"))
-    return passed.join(bad, F.col("source").eqNullSafe(F.col("__bad")), "left_anti").select(*[F.col(f"`{c}`") for c in documents.columns])
+    """The rows of ``documents`` that are kept, with its columns. Rows are measured once and held with their counts for the second look."""
+    measured = materialise(documents.withColumn("__m", measures(F.col("text"))), "measured")
+    bad = materialise(rejected_hosts(measured.select(F.col("source").alias("host"), F.col("__m").alias("m"))), "hosts")
+    return mark_hosts(measured.where(~base_failed("__m")), "source", bad, "__shut").where("not __shut").select(*[F.col(f"`{c}`") for c in documents.columns])
 
 
 def op4_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
