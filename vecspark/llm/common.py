@@ -5,8 +5,9 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from contextlib import contextmanager
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import ship
@@ -15,6 +16,7 @@ from ..session import ship
 BLANKS = r"\x20\x09-\x0D"
 WORD = f"[^{BLANKS}]+"
 BLANK_RUN = f"[{BLANKS}]+"
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -47,11 +49,23 @@ def remove(spark: SparkSession, path: str) -> None:
         return
 
 
+@contextmanager
+def tidy(spark: SparkSession):
+    """What runs in here leaves no shuffle files: its results are tables, caches or rows, which need none."""
+    held = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(CLEANUP, held)
+
+
 def materialise(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = path or scratch(spark, name)
-    df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+    with tidy(spark):
+        df.write.mode("overwrite").option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -73,3 +87,18 @@ def map_arrow(df: DataFrame, run, schema: str) -> DataFrame:
     """``df.mapInArrow`` in workers that can import this package."""
     ship(df.sparkSession)
     return df.mapInArrow(run, schema)
+
+
+def positions(df: DataFrame, order: list[str], name: str) -> DataFrame:
+    """``df`` with ``pos``: 0, 1, ... in the order of the columns ``order``.
+
+    Rows are range-partitioned, so a group with a third of all rows is spread over tasks;
+    only one count per partition is summed in one place.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    marked = materialise(df.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("__at", F.monotonically_increasing_id()), name)
+    part = F.shiftright("__at", 33)
+    counts = marked.groupBy(part.alias("__part")).agg(F.count(F.lit(1)).alias("__n"))
+    bases = counts.select("__part", (F.sum("__n").over(Window.orderBy("__part")) - F.col("__n")).alias("__base"))
+    placed = marked.withColumn("__part", part).join(F.broadcast(bases), "__part")
+    return placed.withColumn("pos", F.col("__base") + F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))).drop("__at", "__part", "__base")

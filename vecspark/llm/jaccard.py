@@ -18,8 +18,8 @@ they share c(s, t) = ceil(num (s + t) / (num + den)) shingles (after Deng, Tao a
    back one row per set: its number of links and the smallest set it is joined to.
 6. Components of these rows are the answer.
 
-No pair list leaves a task, no list is held in one place but sorted by Spark, and a block is
-the largest thing in memory besides one text.
+No pair list leaves a task, lists and clusters are cut by position in one global order, so
+none is held in one place, and a block is the largest thing in memory besides one text.
 
 Defined results: null, empty and blank texts have no shingle, component_id = doc_id and no
 links; texts below ``words`` words have one shingle, the whole sequence; doc_id names a
@@ -37,11 +37,11 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bloom
-from .common import map_arrow, materialise, table
+from .common import map_arrow, materialise, positions, remove, scratch, table
 from .components import components
 
 #: Sets above this size always go to the inverted lists; below, the cost decides.
@@ -49,7 +49,7 @@ SMALL_MAX = 20
 #: Sets in one block of a cluster.
 BLOCK = 512
 #: Share of all shingles whose frequency is counted, in units of the listed share of a set.
-SLICE = 1.6
+SLICE = 1.5
 #: Cost of one exact comparison in units of one posting.
 CHECK = 4.0
 WINDOW = 2 << 20
@@ -254,9 +254,10 @@ def large_edges(classes: DataFrame, top: int, num: int, den: int) -> DataFrame:
     must = F.col("n") - F.expr(f"({num}L * n + {den - 1}) div {den}") + 1
     first = own.join(classes.select("rep", "n", "nu"), "rep").withColumn("take", (must - F.col("nu") + F.col("in_slice")).cast("int")).where("take > 0")
     lists = first.select("rep", "n", F.explode(F.slice("s", F.lit(1), F.col("take"))).alias("s")).select("rep", "n", "s.e")
-    order = Window.partitionBy("e").orderBy("n", "rep")
-    near = lists.select(F.col("rep").alias("a"), "n", F.lag("rep").over(order).alias("b"), F.lag("n").over(order).alias("m"))
-    return near.where(f"b is not null and {den}L * m >= {num}L * n and a <> b").select("a", "b").distinct()
+    # Neighbours are rows one place apart, so that a long list is no single group.
+    placed = positions(lists, ["e", "n", "rep"], "lists")
+    near = placed.select(F.col("rep").alias("a"), "n", "e", "pos").join(placed.select(F.col("rep").alias("b"), F.col("n").alias("m"), F.col("e").alias("f"), (F.col("pos") + 1).alias("pos")), "pos")
+    return near.where(f"e = f and {den}L * m >= {num}L * n and a <> b").select("a", "b").distinct()
 
 
 def scan(rows: list[tuple], num: int, den: int) -> Iterator[tuple[int, int, int]]:
@@ -317,9 +318,9 @@ def scan(rows: list[tuple], num: int, den: int) -> Iterator[tuple[int, int, int]
 
 def verify(documents: DataFrame, members: DataFrame, words: int, num: int, den: int) -> DataFrame:
     """(a, b, links) of every block task; members: (rep, h1, h2, copies, n, cluster)."""
-    place = F.row_number().over(Window.partitionBy("cluster").orderBy("n", "rep", "h1")) - 1
-    placed = members.withColumn("block", F.floor(place / BLOCK).cast("int"))
-    placed = materialise(placed, "members")
+    ordered = positions(members, ["cluster", "n", "rep", "h1"], "clusters")
+    starts = ordered.groupBy("cluster").agg(F.min("pos").alias("start"))
+    placed = materialise(ordered.join(starts, "cluster").withColumn("block", F.expr(f"cast((pos - start) div {BLOCK} as int)")).drop("pos", "start"), "members")
     blocks = placed.groupBy("cluster", "block").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
     left, right = blocks.select("cluster", F.col("block").alias("i"), "hi"), blocks.select("cluster", F.col("block").alias("j"), "lo")
     # Blocks are in order of size, so a later block is too large altogether when its smallest set is.
@@ -361,9 +362,12 @@ def verify(documents: DataFrame, members: DataFrame, words: int, num: int, den:
 
 def similar(documents: DataFrame, words: int = 4, num: int = 85, den: int = 100) -> DataFrame:
     """doc_id, n_shingles, component_id, n_links: one row for each row of ``documents``."""
-    sets = materialise(shingle_sets(documents, words, num, den), "sets")
-    named = sets.where("n > 0 and doc_id is not null")
-    classes = named.groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("nu").alias("nu"), F.first("e").alias("e"), F.first("whole").alias("whole"))
+    spark, path = documents.sparkSession, scratch(documents.sparkSession, "sets")
+    wide = materialise(shingle_sets(documents, words, num, den), "sets", path)
+    sets = materialise(wide.select("doc_id", "n", "h1", "h2"), "keys")
+    first = [F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), *[F.first(c).alias(c) for c in ("nu", "e", "whole")]]
+    classes = materialise(wide.where("n > 0 and doc_id is not null").groupBy("n", "h1", "h2").agg(*first), "classes")
+    remove(spark, path)  # members are held once a class from here on
 
     tiny = classes.where(F.col("n") <= SMALL_MAX)
     sizes = {r["n"]: r["c"] for r in tiny.groupBy("n").agg(F.count(F.lit(1)).alias("c")).collect()}  # SMALL_MAX rows at most
@@ -376,8 +380,7 @@ def similar(documents: DataFrame, words: int = 4, num: int = 85, den: int = 100)
     clusters = components(edges)
     roots = clusters.select(F.col("component").alias("node")).distinct().withColumn("component", F.col("node"))
     clusters = clusters.unionByName(roots).select(F.col("node").alias("rep"), F.col("component").alias("cluster"))
-    keys = named.groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
-    keys = materialise(keys, "keys")
+    keys = classes.select("n", "h1", "h2", "rep", "copies")
     found = materialise(verify(documents, keys.join(clusters, "rep"), words, num, den), "links")
 
     joined = components(found.select("a", "b")).select(F.col("node").alias("rep"), "component")

@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import map_arrow, table
+from .common import map_arrow, table, tidy
 
 #: Bound of the training sample: labelled rows used to fit, the first by hash of their id.
 TRAIN_LIMIT = 20_000
@@ -141,18 +141,20 @@ def training_rows(documents: DataFrame, labels: DataFrame, limit: int = TRAIN_LI
     """(text, toxic) of at most ``limit`` labelled rows outside the held-out fold; equal texts once."""
     own = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     chosen = own.select("doc_id", F.col("toxic").cast("int").alias("toxic")).dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
-    rows = documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "toxic")
-    schema = pa.schema([("text", pa.string()), ("toxic", pa.int32()), *[(f"s{k}", pa.int64()) for k in range(SIGNATURES)]])
+    rows = documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    names = [f"s{k}" for k in range(SIGNATURES)]
+    schema = pa.schema([("doc_id", pa.int64()), ("toxic", pa.int32()), *[(c, pa.int64()) for c in names]])
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            smallest = np.array([signature(t.as_py()) for t in batch.column(0)], np.int64).reshape(-1, SIGNATURES)
-            yield pa.record_batch([batch.column(0), batch.column(1), *[pa.array(smallest[:, k]) for k in range(SIGNATURES)]], schema=schema)
+            smallest = np.array([signature(t.as_py()) for t in batch.column(1)], np.int64).reshape(-1, SIGNATURES)
+            yield pa.record_batch([batch.column(0).cast(pa.int64()), batch.column(2), *[pa.array(smallest[:, k]) for k in range(SIGNATURES)]], schema=schema)
 
-    signed = map_arrow(rows, sign, "text string, toxic int, " + ", ".join(f"s{k} long" for k in range(SIGNATURES)))
-    for k in range(SIGNATURES):
-        signed = signed.dropDuplicates([f"s{k}", "toxic"])
-    return signed.select("text", "toxic")
+    # Only ids and signatures are shuffled; of equal signatures the smallest id stays, whatever the partitions.
+    kept = map_arrow(rows.select("doc_id", "text", "toxic"), sign, "doc_id long, toxic int, " + ", ".join(f"{c} long" for c in names))
+    for c in names:
+        kept = kept.groupBy(c, "toxic").agg(F.min(F.struct("doc_id", *names)).alias("r")).select("r.doc_id", "toxic", *[f"r.{x}" for x in names])
+    return rows.join(F.broadcast(kept.select("doc_id").distinct()), "doc_id").select("text", "toxic")
 
 
 def signature(text: str | None) -> list[int]:
@@ -184,7 +186,11 @@ def count_words(rows: DataFrame) -> DataFrame:
 
 
 def fit(documents: DataFrame, labels: DataFrame, limit: int = TRAIN_LIMIT) -> Model:
-    rows = training_rows(documents, labels, limit).persist()
+    with tidy(documents.sparkSession):
+        return _fit(training_rows(documents, labels, limit).persist())
+
+
+def _fit(rows: DataFrame) -> Model:
     try:
         counts = count_words(rows).persist()
         totals = {bytes(r["key"]): (r["toxic"], r["clean"]) for r in counts.where(F.col("key").isin(bytearray(b"#"), bytearray(b"#tokens"))).collect()}
