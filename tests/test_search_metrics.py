@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from vecspark.operators import decoders, metrics, pairs, sampling, search
 from vecspark.operators.linear import LinearCodec
+from vecspark.plans import catalogue
 from vecspark.plans.training import rank_correlation
 
 
@@ -118,6 +119,21 @@ def test_decoders_do_not_depend_on_partitions(spark):
     assert np.isfinite(warm["decoded"]).all()
 
 
+@pytest.mark.parametrize(("dim", "size"), [(64, 8), (20, 3), (16, 20), (5, 2), (3, 1)])
+def test_moves_by_their_own_terms_are_those_by_whole_energies(dim, size):
+    ys = np.random.default_rng(1).normal(0, 0.3, (3, min(size, dim)))
+    own, whole = (decoders.thermodynamic(ys, dim, [np.random.default_rng([1, i]) for i in range(3)], 3, 12, move=m) for m in (decoders.move, decoders.move_plainly))
+    assert np.allclose(own, whole, atol=1e-9)
+
+
+def test_thermo_query_runs_every_replica_and_iteration(spark, sf_dir):
+    got = {r.vec_id: r.cosine for r in catalogue.thermo_decode(spark, sf_dir).collect()}
+    assert len(got) == spark.read.parquet(f"{sf_dir}/embeddings.parquet").count()
+    for r in catalogue.coded(spark, sf_dir).where("vec_id < 3").collect():
+        x = decoders.thermodynamic(np.array([r.y]), catalogue.DIM, [np.random.default_rng([catalogue.SEED, r.vec_id])], 8, 200)[0]
+        assert got[r.vec_id] == pytest.approx(x @ r.v / np.linalg.norm(x) / np.linalg.norm(r.v), abs=2e-6)
+
+
 def test_global_rank_is_gapless(spark):
     df = spark.range(1000).select((F.col("id") * 7 % 13).alias("x"), F.col("id").alias("p"))
     rows = metrics.global_rank(df, [F.col("x"), F.col("p")], "r").orderBy("r").collect()

@@ -659,7 +659,7 @@ def cmaes_train_eval(spark, sf_dir):
 
 @query()
 def thermo_decode(spark, sf_dir):
-    out = decoders.decode(coded(spark, sf_dir).select("vec_id", "v", "y"), "y", DIM, "thermodynamic", SEED, replicas=2, iterations=5)
+    out = decoders.decode(coded(spark, sf_dir).select("vec_id", "v", "y"), "y", DIM, "thermodynamic", SEED)
     return out.select("vec_id", r6(V.cosine(F.col("v"), F.col("decoded"))).alias("cosine"))
 
 
