@@ -41,6 +41,27 @@ def test_broken_and_bare(source, text):
     assert main_text(source, W) == text
 
 
+@pytest.mark.parametrize("around", ["<div class='content no-sidebar'>{}</div>", "<div id='page' class='has-sidebar'>{}</div>", "<div class='sidebar-right page'>{}</div>", "<div class='post-content widget-page'>{}</div>", "<div class=ad-free>{}</div>", "<form id=aspnet>{}</form>", "<div class=search-page><div>{}</div></div>", "<div class=sidebar><main>{}</main></div>"])
+def test_names_do_not_take_the_article_with_them(around):
+    assert main_text(wrap(around.format(ARTICLE.format(""))), W) == PLAIN
+
+
+@pytest.mark.parametrize("own", ["<article class='post category-ads no-sidebar'>", "<main class=has-comments>", "<div class='content sidebar-left'>"])
+def test_main_names_and_elements_win_over_parts_of_names(own):
+    name = own[1:].split()[0]
+    assert main_text(wrap(f"{own}<h1>Title</h1><p>Words of the text.</p></{name}>"), W) == "Title Words of the text."
+
+
+@pytest.mark.parametrize("inner", ["<h2 id='privacy'>Kept words</h2>", "<p class='discussion'>Kept words</p>", "<h3 id=related-work>Kept words</h3>", "<blockquote class=notice>Kept words</blockquote>"])
+def test_prose_of_the_article_is_kept_whatever_its_name(inner):
+    assert main_text(wrap(ARTICLE.format(inner)), W) == PLAIN.replace("Last", "Kept words Last")
+
+
+@pytest.mark.parametrize("inner", ["<h3 class=hidden-x hidden>gone</h3>", "<p class=advert>gone</p>", "<div class=post-comments>gone</div>", "<section class=comments-section><article><p>gone</p></article></section>", "<div class=entry-share>gone</div>"])
+def test_furniture_by_name_still_goes(inner):
+    assert main_text(wrap(ARTICLE.format(inner)), W) == PLAIN
+
+
 def test_linear_in_hostile_pages():
     for piece in ("<", "<a \"", "<!--", "<script", "&", "<div class='ad'>", "</div>", "<p x=\"'"):
         main_text(piece * 20_000, W)

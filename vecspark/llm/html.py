@@ -33,6 +33,7 @@ RAW = ("script", "style", "noscript", "template", "svg", "math", "iframe", "obje
 VOID = frozenset(("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"))
 #: Elements inside a line: they end no word.
 INLINE = frozenset(("a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "q", "rb", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"))
+HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 #: Elements that an opening block tag closes when they are still open.
 LOOSE = frozenset(("p", "li", "dt", "dd", "h1", "h2", "h3", "h4", "h5", "h6", "option"))
 FURNITURE_TAGS = {"nav": "nav", "menu": "nav", "footer": "footer", "aside": "aside", "form": "form", "fieldset": "form", "button": "form", "dialog": "notice", "header": "header"}
@@ -53,6 +54,12 @@ NAMED = {w: kind for kind, names in FURNITURE_NAMES.items() for w in names}
 #: Words of class, id and role that name the main text.
 MAIN_NAMES = frozenset(("article", "articlebody", "articletext", "post", "postbody", "entry", "story", "storybody", "main", "maincontent", "content", "contentbody"))
 
+#: Words after which a label tells what a page has or lacks, and words that make a label one of the layout.
+LAYOUT_BEFORE = frozenset(("no", "non", "not", "has", "have", "with", "without", "hide"))
+LAYOUT = frozenset(("layout", "template", "free", "enabled", "disabled"))
+#: Elements of prose: in the main text only adverts among them go by name.
+PROSE = frozenset(("p", "dt", "dd", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "pre"))
+
 MILD, NEAR, FAR = -0.02, -0.2, -2.0
 
 _RAW = "|".join(RAW)
@@ -68,24 +75,32 @@ _ATTR = re.compile(r"""([a-zA-Z-]++)\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s"'>]+
 _NAMES = re.compile(r"[a-z]+")
 
 
-def naming(attrs: str) -> tuple[str | None, bool]:
-    """(kind of furniture or None, whether it names the main text) from a tag's attributes."""
-    kind, main = None, False
+def naming(attrs: str, ids: bool = True) -> tuple[str | None, bool]:
+    """(kind of furniture or None, whether it names the main text) from a tag's attributes.
+
+    A label that is a name of furniture comes first, then one of the main text, then one that
+    has a name of furniture among others; its kind begins with "?".
+    """
+    whole, part, main = None, None, False
     for m in _ATTR.finditer(attrs):
         if m[5]:
             return "hidden", False
         key, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
-        if key in ("class", "id", "role"):
+        if key in ("class", "role") or key == "id" and ids:
             for label in value.split():
                 words = _NAMES.findall(label)
-                if words == ["header"]:
-                    kind = kind or "header"
-                for w in (*words, "".join(words)):
-                    kind = kind or NAMED.get(w)
-                    main = main or w in MAIN_NAMES
+                words = [] if LAYOUT & {*words} else words[: next((k for k, w in enumerate(words) if w in LAYOUT_BEFORE), len(words))]
+                joined = "".join(words)
+                kind = "header" if words == ["header"] else next((NAMED[w] for w in (*words, joined) if w in NAMED), None)
+                if kind is None:
+                    main = main or any(w in MAIN_NAMES for w in (*words, joined))
+                elif words == ["header"] or joined in NAMED or all(w in NAMED for w in words):
+                    whole = whole or kind
+                else:
+                    part = part or f"?{kind}"
         elif key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value) or key == "aria-hidden" and value == "true" or key == "hidden":
             return "hidden", False
-    return kind, main and kind is None
+    return (whole, False) if whole else (None, True) if main else (part, False)
 
 
 class Page:
@@ -121,25 +136,29 @@ class Page:
             while stack and stack[-1][0] in LOOSE and (name == stack[-1][0] or stack[-1][0] == "p" or stack[-1][0][0] == "h"):
                 stack.pop()
         kind, main, link = (stack[-1][1:] if stack else (None, False, False))
+        if kind and (name == "main" and kind != "hidden" or name == "article" and (kind == "form" or kind[0] == "?" and kind != "?comments")):
+            kind = None  # what holds the main text is no furniture
         if kind is None:
             self.tokens.append(("<main>" if main else f"<{name}>", None))
-            named, names_main = naming(attrs) if attrs else (None, False)
+            named, names_main = naming(attrs, name not in HEADINGS) if attrs else (None, False)
             if name == "body" or name == "html":
                 named, names_main = None, False
             if name in MAIN_TAGS and named not in ("comments", "hidden", "aside", "ad"):
                 named = None
+            if main and name in PROSE and named not in ("hidden", "ad", "?ad"):
+                named = None
             kind = FURNITURE_TAGS.get(name)
             if kind == "header" and main:
                 kind = "byline"  # the head of an article: its headings are text, its other words are not
             kind = named if named and kind != "byline" else kind
-            if kind == "header" and main:
+            if kind in ("header", "?header") and main:
                 kind = "byline"
             main = main or name in MAIN_TAGS or names_main
             if kind == "byline":
                 kind = None
                 stack.append((name, "byline", main, link))
                 return
-        elif kind == "byline" and name in ("h1", "h2", "h3", "h4", "h5", "h6"):
+        elif kind == "byline" and name in HEADINGS:
             stack.append((name, None, main, link))
             return
         if name not in VOID:
