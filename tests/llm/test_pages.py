@@ -62,6 +62,25 @@ def test_furniture_by_name_still_goes(inner):
     assert main_text(wrap(ARTICLE.format(inner)), W) == PLAIN
 
 
+@pytest.mark.parametrize("head", ["<head><title>T</title>", "<head><title>T</title><meta charset=x><script>a()</script><link rel=x>", "<head><title>never closed", "<head><noscript><style>p{}</style></noscript><title>T</title>"])
+@pytest.mark.parametrize("body", ["<body>{}", "{}", "<body><div>{}</div></body></html>"])
+def test_a_head_ends_without_its_end_tag(head, body):
+    assert main_text(f"<html>{head}{body.format(ARTICLE.format(''))}", W) == PLAIN
+
+
+@pytest.mark.parametrize("tag", ["select", "object", "svg", "noscript", "iframe", "video", "math", "template", "canvas", "audio", "datalist"])
+def test_inert_elements_take_only_their_own_content(tag):
+    for inner in (f"<{tag} a=b>", f"<{tag} a=b><p>", f"</{tag}>", f"<{tag} a=b>gone</{tag}>", f"<{tag}><p>gone</p></{tag}>", f"<{tag} a=b><{tag}>gone</{tag}>"):
+        assert main_text(wrap(ARTICLE.format(inner)), W) == PLAIN
+    assert main_text(wrap(f"<{tag}><div>gone</div></{tag}>" + ARTICLE.format("") + f"<div><{tag}>"), W) == PLAIN
+    assert main_text(wrap("<div class=ad><p>Buy now<" + tag + ">x</" + tag + "> and here</div>" + ARTICLE.format("")), W) == PLAIN
+
+
+def test_linear_in_unclosed_elements():
+    for piece in ("<select>", "<svg>", "</svg>", "<head>", "<title>", "<object><p>", "<noscript></div>"):
+        main_text(piece * 20_000, W)
+
+
 def test_linear_in_hostile_pages():
     for piece in ("<", "<a \"", "<!--", "<script", "&", "<div class='ad'>", "</div>", "<p x=\"'"):
         main_text(piece * 20_000, W)

@@ -20,7 +20,7 @@ from __future__ import annotations
 import html as references
 import math
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -28,8 +28,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import map_arrow, table
 
-#: Elements without text of their own to read: their whole content goes.
-RAW = ("script", "style", "noscript", "template", "svg", "math", "iframe", "object", "canvas", "audio", "video", "head", "textarea", "select", "datalist")
+#: Elements whose content is no markup: it goes, up to the end of the page where they are not closed.
+RAW = ("script", "style", "textarea")
+#: Elements without text of their own to read: their content goes where they are closed, else the tag alone. Those of NESTED hold their like.
+INERT = frozenset(("noscript", "template", "svg", "math", "iframe", "object", "canvas", "audio", "video", "select", "datalist", "title"))
+NESTED = frozenset(("template", "svg", "math", "object"))
+#: Elements of a page's head; any other ends it.
+HEAD = frozenset(("title", "meta", "link", "base", "basefont", "bgsound", "noscript", "template", "object"))
 VOID = frozenset(("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"))
 #: Elements inside a line: they end no word.
 INLINE = frozenset(("a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "q", "rb", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"))
@@ -103,6 +108,24 @@ def naming(attrs: str, ids: bool = True) -> tuple[str | None, bool]:
     return (whole, False) if whole else (None, True) if main else (part, False)
 
 
+def closed(tags: list[re.Match]) -> set[int]:
+    """Where the opening tags of inert elements stand that have an end tag."""
+    found, waiting = set(), defaultdict(list)
+    for m in tags:
+        name = (m["name"] or m["name2"] or "").lower()
+        if name not in INERT:
+            continue
+        if m["end"] or m["end2"]:
+            if waiting[name]:
+                found.add(waiting[name].pop())
+        elif name in NESTED:
+            if not (m["attrs"] or m["attrs2"] or "").endswith("/"):
+                waiting[name].append(m.start())
+        else:
+            waiting[name] = [m.start()]
+    return found
+
+
 class Page:
     """Words and tags of a page outside furniture: (kind of token, word or None, ends a word)."""
 
@@ -111,7 +134,9 @@ class Page:
         self.text: list[tuple[str, str]] = []
         stack: list[tuple[str, str | None, bool, bool]] = []  # name, furniture, main, link
         at = 0
-        for m in _TOKEN.finditer(source):
+        tags = list(_TOKEN.finditer(source))
+        inert = closed(tags)
+        for m in tags:
             self._words(source[at : m.start()], stack)
             at = m.end()
             name = m["name"] or m["name2"]
@@ -124,6 +149,8 @@ class Page:
                 self._gap()
             if end:
                 self._close(name, stack)
+            elif name in INERT:
+                self._hide(name, m.start() in inert, stack)
             else:
                 self._open(name, m["attrs"] or m["attrs2"] or "", stack)
         self._words(source[at:], stack)
@@ -131,7 +158,21 @@ class Page:
     def _gap(self) -> None:
         self.text.append(("", " "))
 
+    def _hide(self, name: str, ends: bool, stack: list) -> None:
+        if stack and stack[-1][0] == "head" and name not in HEAD:
+            stack.pop()
+        if ends:
+            stack.append((name, "hidden", *(stack[-1][2:] if stack else (False, False))))
+
     def _open(self, name: str, attrs: str, stack: list) -> None:
+        if name == "head":
+            stack.append((name, "hidden", False, False))
+            return
+        if stack and stack[-1][0] == "head" and name not in HEAD:
+            stack.pop()
+        if name == "body":
+            while stack and stack[-1][0] != "html" and stack[-1][1] == "hidden":
+                stack.pop()
         if name not in INLINE:
             while stack and stack[-1][0] in LOOSE and (name == stack[-1][0] or stack[-1][0] == "p" or stack[-1][0][0] == "h"):
                 stack.pop()
