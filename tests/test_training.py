@@ -1,6 +1,7 @@
 import numpy as np
 import pytest
 
+from vecspark.operators import sampling
 from vecspark.operators.linear import LinearCodec
 from vecspark.plans import evaluation, training
 from vecspark.plans.cmaes import CMAES
@@ -54,6 +55,16 @@ def test_train_and_validate(spark):
     assert sum(r.best for r in rows.values()) == 1
 
 
+def test_presets_validate_on_a_fifth_up_to_the_bound_and_go_on_to_the_largest_sample(spark):
+    config = training.TrainerConfig
+    for made in (config(), config.instant(), config.quick(), config.thorough()):
+        halves = sampling.split(spark.range(6000).withColumnRenamed("id", "pair_id"), made.validation_fraction, made.seed, made.max_validation, key="pair_id")
+        assert halves.where("split = 'validation'").count() == 1200
+        assert made.max_validation == 50_000
+    largest = [sampling.sizes(available=60_000, **made.schedule)[-1] for made in (config(), config.thorough(), config.quick(), config.instant())]
+    assert largest == [50_000, 50_000, 5000, 50]
+
+
 def test_stream(spark, tmp_path):
     from vecspark.operators.pipeline import CompressionPipeline
 

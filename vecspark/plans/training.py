@@ -32,10 +32,10 @@ class TrainerConfig:
     patience: int = 3
     min_improvement: float = 0.001
     validation_fraction: float = 0.2
-    max_validation: int | None = 1000
+    max_validation: int | None = 50_000
     seed: int = 42
     strategy: str = "random"
-    schedule: dict = field(default_factory=lambda: {"kind": "fixed", "values": (100, 200, 500, 1000, 2000, 5000, 10_000)})
+    schedule: dict = field(default_factory=lambda: {"kind": "fixed", "values": (100, 200, 500, 1000, 2000, 5000, 10_000, 20_000, 50_000)})
 
     @classmethod
     def instant(cls) -> TrainerConfig:
@@ -43,7 +43,7 @@ class TrainerConfig:
 
     @classmethod
     def quick(cls) -> TrainerConfig:
-        return cls(generations=50, population=30)
+        return cls(generations=50, population=30, schedule={"kind": "fixed", "values": (100, 200, 500, 1000, 2000, 5000)})
 
     @classmethod
     def thorough(cls) -> TrainerConfig:
