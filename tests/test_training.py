@@ -3,7 +3,8 @@ import pytest
 
 from vecspark.operators import sampling
 from vecspark.operators.linear import LinearCodec
-from vecspark.plans import evaluation, training
+from vecspark.operators.pq import ProductQuantizer
+from vecspark.plans import catalogue, evaluation, training
 from vecspark.plans.cmaes import CMAES
 from vecspark.plans.monitor import EarlyStopping, TrainingReport, early_stop_trace, overfit
 from vecspark.streaming.transform import compress_stream, read_vectors, write_stream
@@ -65,6 +66,19 @@ def test_presets_validate_on_a_fifth_up_to_the_bound_and_go_on_to_the_largest_sa
     assert largest == [50_000, 50_000, 5000, 50]
 
 
+def test_registered_codebooks_have_the_default_bits_iterations_and_restarts(spark, sf_dir, monkeypatch):
+    made, train = [], ProductQuantizer.train.__func__
+
+    def noted(cls, df, column, config, iterations=100, restarts=3, **more):
+        made.append((config.bits, iterations, restarts))
+        return train(cls, df, column, config, 1, 1, **more)
+
+    monkeypatch.setattr(ProductQuantizer, "train", classmethod(noted))
+    catalogue.pq_train_encode(spark, sf_dir)
+    assert catalogue.benchmark_grid(spark, sf_dir).count() == 3
+    assert made == [(8, 100, 3)] * 4
+
+
 def test_stream(spark, tmp_path):
     from vecspark.operators.pipeline import CompressionPipeline
 

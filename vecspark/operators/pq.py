@@ -18,6 +18,8 @@ from pyspark.sql.types import ArrayType, ShortType, StructField, StructType
 
 from ..functions import vectors as V
 
+#: Rows whose distances to all centroids are held at once.
+NEAR_ROWS = 256
 PRESETS = {"disabled": 0, "pq7": 7, "pq13": 13, "pq17": 17}
 
 
@@ -66,9 +68,13 @@ def plusplus(data: np.ndarray, k: int, seed: int, faithful: bool = False) -> np.
 
 def nearest(data: np.ndarray, centroids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(index of the first nearest centroid, squared distance) of each row."""
-    gaps = ((data[:, None, :] - centroids[None, :, :]) ** 2).sum(2)
-    code = gaps.argmin(1)
-    return code, gaps[np.arange(len(data)), code]
+    code, least = np.empty(len(data), np.int64), np.empty(len(data))
+    for r in range(0, len(data), NEAR_ROWS):
+        rows = data[r : r + NEAR_ROWS]
+        gaps = sum((x[:, None] - c[None, :]) ** 2 for x, c in zip(rows.T, centroids.T, strict=True))
+        code[r : r + NEAR_ROWS] = own = gaps.argmin(1)
+        least[r : r + NEAR_ROWS] = gaps[np.arange(len(rows)), own]
+    return code, least
 
 
 def kmeans(data: np.ndarray, k: int, iterations: int = 100, restarts: int = 3, tolerance: float = 1e-6, faithful: bool = False) -> tuple[np.ndarray, float]:

@@ -646,7 +646,7 @@ def pipeline_full(spark, sf_dir):
 @query()
 def pq_train_encode(spark, sf_dir):
     codes = coded(spark, sf_dir).select("vec_id", "y")
-    pq = ProductQuantizer.train(codes, "y", PQConfig(SMALL, SUBVECTORS, 4), iterations=20, restarts=1)
+    pq = ProductQuantizer.train(codes, "y", PQConfig(SMALL, SUBVECTORS))
     return exploded(codes.withColumn("codes", pq.encode(F.col("y"))), "codes", "code")
 
 
@@ -681,6 +681,6 @@ def grid_sample_pca(spark, sf_dir):
 
 @query()
 def benchmark_grid(spark, sf_dir):
-    return evaluation.benchmark_grid(spark, vectors(spark, sf_dir), ratios=(16, 8), subvectors=(4, 8), bits=4, every=10)
+    return evaluation.benchmark_grid(spark, vectors(spark, sf_dir), ratios=(16, 8), subvectors=(4, 8), every=10)
 
 

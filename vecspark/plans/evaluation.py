@@ -65,7 +65,7 @@ def benchmark_grid(spark: SparkSession, df: DataFrame, ratios=(30, 20, 10), subv
             if m > size:
                 continue
             begun = time.time()
-            pq = ProductQuantizer.train(codes, "code", PQConfig(size, m, bits), iterations=20, restarts=1)
+            pq = ProductQuantizer.train(codes, "code", PQConfig(size, m, bits))
             decoded = test.select("vec_id", pq.decode(pq.encode(codec.compress(F.col("embedding")))).alias("embedding")).persist()
             rho = mode_preservation(as_pairs(test), CompressionPipeline(codec, "full", pq))["similarity_preservation"]
             found = search.knn(decoded.where(F.pmod("vec_id", F.lit(every)) == 0), decoded, k)
