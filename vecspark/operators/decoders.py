@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -15,7 +16,7 @@ from ..session import ship
 
 COLDEST, HOTTEST, STEP, REPLICAS, ITERATIONS, MOVES, EXCHANGE_EVERY = 280.0, 400.0, 0.1, 8, 200, 10, 10
 #: Rows decoded at once.
-ROWS = 64
+ROWS = 256
 
 
 def combined_energy(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -109,24 +110,16 @@ def thermodynamic(ys: np.ndarray, dim: int, rngs: list[np.random.Generator], rep
     return x.reshape(n, replicas, dim)[:, 0]
 
 
-def hybrid(y: np.ndarray, dim: int, rng: np.random.Generator, iterations: int = 50) -> np.ndarray:
-    """Replication, then single-coordinate noise kept where the energy does not rise."""
-    x = replicated(y, dim).astype(float)
-    now = combined_energy(x[None], y)[0]
-    for _ in range(iterations):
-        moved = x.copy()
-        moved[rng.integers(0, dim)] += rng.normal(0, 0.05)
-        new = combined_energy(moved[None], y)[0]
-        if new <= now:
-            x, now = moved, new
+def hybrid(ys: np.ndarray, dim: int, rngs: list[np.random.Generator], iterations: int = 50, move=move) -> np.ndarray:
+    """Replication, then single-coordinate noise kept where the energy does not rise; all rows of ``ys`` move at once."""
+    x = np.stack([replicated(y, dim) for y in ys]).astype(float)
+    drawn = [(rng.integers(0, dim, (iterations, 1)), rng.normal(0, 0.05, (iterations, 1))) for rng in rngs]
+    places, sizes = (np.concatenate(part, 1) for part in zip(*drawn, strict=True))
+    move(x, ys, places, sizes, np.zeros(sizes.shape))
     return x
 
 
-def by_row(run_one):
-    return lambda ys, dim, rngs, **options: np.stack([run_one(y, dim, rng, **options) for y, rng in zip(ys, rngs, strict=True)])
-
-
-METHODS = {"thermodynamic": thermodynamic, "hybrid": by_row(hybrid), "hybrid_quick": by_row(lambda y, dim, rng: hybrid(y, dim, rng, 10))}
+METHODS = {"thermodynamic": thermodynamic, "hybrid": hybrid, "hybrid_quick": partial(hybrid, iterations=10)}
 
 
 def decode(df: DataFrame, code: str, dim: int, method: str, seed: int = 0, key: str = "vec_id", out: str = "decoded", **options) -> DataFrame:

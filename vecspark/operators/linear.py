@@ -14,6 +14,8 @@ from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from ..functions import vectors as V
 from ..functions.constants import BLOCK, PHI, WEIGHT_ZERO
+from ..session import ship
+from .pq import dense, lists
 
 
 def golden_matrix(original_dim: int, compressed_dim: int) -> np.ndarray:
@@ -84,8 +86,12 @@ class LinearCodec:
     def flat(self) -> list[float]:
         return self.weights.ravel().tolist()
 
+    def effective(self) -> np.ndarray:
+        """The weights that count when compressing."""
+        return np.where(np.abs(self.weights) > WEIGHT_ZERO, self.weights, 0.0)
+
     def compress(self, v: Column) -> Column:
-        return V.project(V.as_double(v), np.where(np.abs(self.weights) > WEIGHT_ZERO, self.weights, 0.0).tolist())
+        return V.project(V.as_double(v), self.effective().tolist())
 
     def decompress(self, y: Column) -> Column:
         """Transpose projection."""
@@ -96,8 +102,6 @@ class LinearCodec:
 
     def project_bulk(self, df: DataFrame, column: str = "embedding", out: str = "code") -> DataFrame:
         """``df`` with ``out``: one matrix product per Arrow batch, for long vectors and large tables."""
-        from ..session import ship
-
         ship(df.sparkSession)
         shared = df.sparkSession.sparkContext.broadcast(self.weights.T.copy())
         schema = StructType([*df.schema.fields, StructField(out, ArrayType(DoubleType()))])
@@ -106,17 +110,7 @@ class LinearCodec:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             w = shared.value
             for batch in batches:
-                vectors = batch.column(at)
-                size = np.diff(np.asarray(vectors.offsets))
-                flat = np.asarray(vectors.flatten(), float)
-                if (size == w.shape[0]).all():
-                    dense = flat.reshape(-1, w.shape[0])
-                else:  # short vectors count as zero beyond their end
-                    dense = np.zeros((len(size), w.shape[0]))
-                    row, col = np.repeat(np.arange(len(size)), size), np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size)
-                    keep = col < w.shape[0]
-                    dense[row[keep], col[keep]] = flat[keep]
-                codes = pa.ListArray.from_arrays(np.arange(len(size) + 1, dtype=np.int32) * w.shape[1], pa.array((dense @ w).ravel()))
+                codes = lists(dense(batch.column(at), w.shape[0]) @ w, batch.column(at).is_null())
                 yield pa.RecordBatch.from_arrays([*batch.columns, codes], names=[*batch.schema.names, out])
 
         return df.mapInArrow(run, schema)

@@ -2,25 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
 from ..functions.constants import RANK_ZERO
+from ..session import positions
 
 
 def global_rank(df: DataFrame, order: list[Column], out: str) -> DataFrame:
     """``df`` with ``out``: position from 0 in the order; ties must be broken by ``order`` itself.
 
     Range partitions are sorted on their own and shifted by the rows before them, so no task
-    sees more than its share; only one count per partition is summed in one place.
+    sees more than its share.
     """
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = df.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("__at", F.monotonically_increasing_id()).persist()
-    part, local = F.shiftright("__at", 33), F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))
-    counts = ordered.groupBy(part.alias("__part")).agg(F.count(F.lit(1)).alias("n"))
-    bases = counts.select("__part", (F.sum("n").over(Window.orderBy("__part")) - F.col("n")).alias("__base"))
-    return ordered.withColumn("__part", part).join(F.broadcast(bases), "__part").withColumn(out, F.col("__base") + local).drop("__at", "__part", "__base")
+    return positions(df, order, "ranked", out)
 
 
 def spearman(df: DataFrame, x: str, y: str, position: str) -> DataFrame:

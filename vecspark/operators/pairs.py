@@ -7,6 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import vectors as V
 from ..functions.constants import COSINE_ZERO
 from ..session import ship
 
@@ -41,6 +42,14 @@ def similarity_profile(df: DataFrame, column: str = "embedding", block: int = BL
     return sums.select("vec_id", "n_pairs", "sum_cosine", F.when(F.col("n_pairs") > 0, F.col("m")).alias("max_cosine"))
 
 
+def mean_distance(df: DataFrame, column: str = "embedding") -> DataFrame:
+    """(n_pairs, mean_distance): the mean Euclidean distance over all unordered pairs of a sample, 0 without a pair."""
+    v = F.col(column).cast("array<double>")
+    left, right = df.select(F.col("vec_id").alias("i"), v.alias("a")), df.select(F.col("vec_id").alias("j"), v.alias("b"))
+    both = left.join(F.broadcast(right), F.expr("i < j"))  # a sample is small: its size is a parameter of the sampler
+    return both.agg(F.count(F.lit(1)).alias("n_pairs"), F.coalesce(F.avg(V.euclidean(F.col("a"), F.col("b"))), F.lit(0.0)).alias("mean_distance"))
+
+
 def capped_pairs(df: DataFrame, rows: int = 50, pairs: int = 200) -> DataFrame:
     """(i, j): the first ``pairs`` pairs in lexical order of the first ``rows`` ids; the caps are the operator's."""
     first = df.select("vec_id").orderBy("vec_id").limit(rows)

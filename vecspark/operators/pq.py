@@ -12,11 +12,13 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, ShortType, StructField, StructType
 
 from ..functions import vectors as V
+from ..session import let, ship
 
 #: Rows whose distances to all centroids are held at once.
 NEAR_ROWS = 256
@@ -42,6 +44,27 @@ class PQConfig:
         return 1 << self.bits
 
 
+def dense(column: pa.Array | pa.ChunkedArray, width: int) -> np.ndarray:
+    """(rows, width) of a list column: shorter lists end in zeros, longer ones are cut, null ones are zero."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    flat = np.asarray(column.flatten()).astype(float, copy=False)
+    size = np.asarray(pc.fill_null(pc.list_value_length(column), 0)).astype(np.int64)
+    if (size == width).all():
+        return flat.reshape(len(size), width)
+    out = np.zeros((len(size), width))
+    row, col = np.repeat(np.arange(len(size)), size), np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size)
+    keep = col < width
+    out[row[keep], col[keep]] = flat[keep]
+    return out
+
+
+def lists(values: np.ndarray, null: pa.Array) -> pa.Array:
+    """List column of the rows of a matrix; null where ``null`` is true."""
+    offsets = pa.array(np.arange(len(values) + 1, dtype=np.int32) * values.shape[1])
+    return pa.ListArray.from_arrays(offsets, pa.array(values.ravel()), mask=null)
+
+
 class Lcg:
     """Linear congruential draws. ``faithful`` keeps the narrow range [0, 0.5) of 31 bits over 2^32 - 1."""
 
@@ -109,8 +132,6 @@ class ProductQuantizer:
     @classmethod
     def train(cls, df: DataFrame, column: str, config: PQConfig, iterations: int = 100, restarts: int = 3, limit: int = 65_536, faithful: bool = False) -> ProductQuantizer:
         """One k-means per sub-space, each in a task of its own; at most ``limit`` rows by hash of their id train it."""
-        from ..session import ship
-
         ship(df.sparkSession)
         keys = [c for c in df.columns if c != column] or [column]
         rows = df.orderBy(F.md5(F.to_json(F.struct(*keys)).cast("binary"))).limit(limit).select(F.col(column).alias("v"))
@@ -146,11 +167,11 @@ class ProductQuantizer:
         """Code of each sub-vector: the first nearest centroid."""
         width = self.config.width
 
-        def code(book: Column, m: Column) -> Column:
-            gaps = F.transform(F.array(V.subvector(v, m, width)), lambda s: F.array_min(F.transform(book, lambda c, k: F.struct(V.squared_distance(s, c).alias("d"), k.alias("k"))))["k"])
-            return gaps[0].cast("smallint")
+        def code(v: Column, book: Column, m: Column) -> Column:
+            nearest_ = lambda s: F.array_min(F.transform(book, lambda c, k: F.struct(V.squared_distance(s, c).alias("d"), k.alias("k"))))["k"]
+            return let(V.subvector(v, m, width), nearest_).cast("smallint")
 
-        return F.transform(self._book(), code)
+        return let(v, lambda v: F.transform(self._book(), lambda book, m: code(v, book, m)))
 
     def decode(self, codes: Column) -> Column:
         return F.slice(F.flatten(F.zip_with(self._book(), codes, lambda book, c: F.get(book, c.cast("int")))), 1, self.config.input_dim)
@@ -159,7 +180,8 @@ class ProductQuantizer:
         """Squared distance of each sub-vector of a query to each centroid; sub-spaces beyond the end give 0."""
         width, dim = self.config.width, self.config.input_dim
         live = lambda m: m * width < F.lit(dim)
-        return F.transform(self._book(), lambda book, m: F.transform(F.array(V.subvector(q, m, width)), lambda s: F.transform(book, lambda c: F.when(live(m), V.squared_distance(s, c)).otherwise(F.lit(0.0))))[0])
+        table = lambda q, book, m: let(V.subvector(q, m, width), lambda s: F.transform(book, lambda c: F.when(live(m), V.squared_distance(s, c)).otherwise(F.lit(0.0))))
+        return let(q, lambda q: F.transform(self._book(), lambda book, m: table(q, book, m)))
 
     @staticmethod
     def adc(tables: Column, codes: Column) -> Column:
@@ -168,20 +190,15 @@ class ProductQuantizer:
 
     def encode_bulk(self, df: DataFrame, column: str, out: str = "codes") -> DataFrame:
         """``df`` with ``out``: codes by matrix operations on Arrow batches."""
-        from ..session import ship
-
         ship(df.sparkSession)
         shared, at = df.sparkSession.sparkContext.broadcast((self.config, self.centroids)), df.columns.index(column)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             config, books = shared.value
             for batch in batches:
-                dense = np.zeros((batch.num_rows, config.width * config.n_subvectors))
-                for r, v in enumerate(batch.column(at).to_pylist()):
-                    dense[r, : len(v)] = v[: dense.shape[1]]
-                subs = dense.reshape(-1, config.n_subvectors, config.width)
+                subs = dense(batch.column(at), config.width * config.n_subvectors).reshape(-1, config.n_subvectors, config.width)
                 codes = np.stack([nearest(subs[:, m], books[m])[0] for m in range(config.n_subvectors)], 1).astype(np.int16)
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(codes.tolist(), pa.list_(pa.int16()))], names=[*batch.schema.names, out])
+                yield pa.RecordBatch.from_arrays([*batch.columns, lists(codes, batch.column(at).is_null())], names=[*batch.schema.names, out])
 
         return df.mapInArrow(run, StructType([*df.schema.fields, StructField(out, ArrayType(ShortType()))]))
 

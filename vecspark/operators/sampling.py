@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
+from ..session import materialise, remove, scratch
 from .metrics import global_rank
 
 
@@ -77,10 +77,6 @@ def pca_coordinates(df: DataFrame, column: str = "embedding") -> DataFrame:
     return out.select("vec_id", F.col("p")[0].alias("x"), F.col("p")[1].alias("y"))
 
 
-def uniform(seed: int, step: int) -> float:
-    return np.random.default_rng([seed, step]).random()
-
-
 def weighted_pick(df: DataFrame, weight: str, draw: float, key: str = "vec_id") -> DataFrame:
     """The row where the running sum of ``weight`` in order of ``key`` reaches ``draw`` times the total."""
     parts = global_rank(df, [F.col(key)], "__r").withColumn("__p", F.expr("__r div 100000"))
@@ -90,9 +86,15 @@ def weighted_pick(df: DataFrame, weight: str, draw: float, key: str = "vec_id")
     return parts.join(F.broadcast(sums), "__p").withColumn("__run", run).where(F.col("__run") >= draw * F.col("total")).orderBy(key).limit(1).drop("__r", "__p", "base", "total", "__run")
 
 
+def race(seed: int, step: int, weight: Column, key: str = "vec_id") -> Column:
+    """Exponential race: the row with the smallest value is drawn with a probability in proportion to ``weight``; infinite where that is 0."""
+    u = (F.pmod(F.xxhash64(F.lit(seed), F.lit(step), F.col(key)), F.lit(1 << 52)) + 1) / float((1 << 52) + 1)
+    return F.when(weight > 0, -F.log(u) / weight).otherwise(F.lit(float("inf")))
+
+
 def kmeanspp_sample(df: DataFrame, n: int, seed: int, column: str = "embedding") -> DataFrame:
-    """``n`` ids far apart: each next one is drawn by squared distance from those before. One pass over the table a pick."""
-    rows = df.select("vec_id", V.as_double(F.col(column)).alias("v"))
+    """``n`` ids far apart: each next one is drawn by squared distance from those before. One scan with one minimum a pick, without a sort."""
+    rows, path = df.select("vec_id", V.as_double(F.col(column)).alias("v")), None
     total = rows.count()
     if n >= total:
         return rows.select("vec_id").orderBy("vec_id")
@@ -102,12 +104,15 @@ def kmeanspp_sample(df: DataFrame, n: int, seed: int, column: str = "embedding")
         last = F.lit([float(x) for x in picked[-1]["v"]])
         d = V.squared_distance(F.col("v"), last)
         if step % 32 == 0:  # keep the expression short
-            rows = rows.withColumn("g", gap).persist()
-            gap = F.col("g")
+            old, path = path, scratch(df.sparkSession, "gaps")
+            rows, gap = materialise(rows.withColumn("g", gap), "gaps", path), F.col("g")
+            if old:
+                remove(df.sparkSession, old)
         gap = d if gap is None else F.least(gap, d)
-        scored = rows.withColumn("d", gap).where(~F.col("vec_id").isin([p["vec_id"] for p in picked]))
-        found = weighted_pick(scored, "d", uniform(seed, step)).first()
-        picked.append(found if found is not None else random_sample(scored, 1, seed + step).first())
+        drawn = rows.where(~F.col("vec_id").isin([p["vec_id"] for p in picked])).select(F.struct("vec_id", "v").alias("row"), F.struct(race(seed, step, gap), "vec_id").alias("at"))
+        picked.append(drawn.agg(F.min_by("row", "at").alias("row")).first()["row"])
+    if path:
+        remove(df.sparkSession, path)
     return df.sparkSession.createDataFrame(sorted((p["vec_id"],) for p in picked), "vec_id long")
 
 

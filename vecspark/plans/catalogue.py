@@ -526,6 +526,12 @@ def kmeanspp_second_pick(spark, sf_dir):
     return sampling.weighted_pick(scored, "d", 0.5).select("vec_id")
 
 
+@query(f"{SQL_E}, f as (select vec_id, v from e order by md5('{SEED}:' || vec_id), vec_id limit 100) select count(*)::bigint as n_pairs, round(avg(list_distance(a.v, b.v)), 6) as mean_distance from f a join f b on a.vec_id < b.vec_id")
+def mean_pairwise_distance(spark, sf_dir):
+    out = pairs.mean_distance(sampling.random_sample(vectors(spark, sf_dir), 100, SEED))
+    return out.select("n_pairs", r6(F.col("mean_distance")).alias("mean_distance"))
+
+
 @query("with f as (select vec_id from embeddings order by vec_id limit 50) select a.vec_id as i, b.vec_id as j from f a join f b on a.vec_id < b.vec_id order by i, j limit 200")
 def capped_pairs(spark, sf_dir):
     return pairs.capped_pairs(vectors(spark, sf_dir))
@@ -633,21 +639,23 @@ def pipeline_8bit(spark, sf_dir):
     return out.select("vec_id", r6(F.col("original_min")).alias("original_min"), r6(F.col("original_max")).alias("original_max"), r6(V.total(F.col("projected"))).alias("code_sum"))
 
 
-# -- without SQL counterpart ----------------------------------------------------------
-
-
-@query()
+@query(f"""{SQL_BOOK}, b as (select vec_id, v, list_min(v) as lo, list_max(v) as hi from e), q as (select *, list_transform(v, lambda x: greatest(0, least(255, round((x - lo) * (255.0 / (hi - lo)))))::int) as q8 from b),
+w as (select vec_id, list_transform({W8}, lambda r: list_dot_product(r, list_transform(q8, lambda k: lo + k * ((hi - lo) / 255.0)))) as y from q), a as (select vec_id, sub, code, {SQL_GAP} as d from w, cb)
+select vec_id, 'full' as mode, {4 * DIM}::double / {SUBVECTORS + 10}::double as compression_ratio, sub::int as sub, code::smallint as code from a qualify row_number() over (partition by vec_id, sub order by d, code) = 1""")
 def pipeline_full(spark, sf_dir):
     pq = first_codebook(spark, sf_dir)
     out = CompressionPipeline(small_codec(), "full", pq).transform(vectors(spark, sf_dir)).select("vec_id", "compressed.*")
     return out.select("vec_id", "mode", "compression_ratio", F.posexplode("codes").alias("sub", "code"))
 
 
+# -- without SQL counterpart ----------------------------------------------------------
+
+
 @query()
 def pq_train_encode(spark, sf_dir):
     codes = coded(spark, sf_dir).select("vec_id", "y")
     pq = ProductQuantizer.train(codes, "y", PQConfig(SMALL, SUBVECTORS))
-    return exploded(codes.withColumn("codes", pq.encode(F.col("y"))), "codes", "code")
+    return exploded(pq.encode_bulk(codes, "y"), "codes", "code")
 
 
 @query()
@@ -681,6 +689,6 @@ def grid_sample_pca(spark, sf_dir):
 
 @query()
 def benchmark_grid(spark, sf_dir):
-    return evaluation.benchmark_grid(spark, vectors(spark, sf_dir), ratios=(16, 8), subvectors=(4, 8), every=10)
+    return evaluation.benchmark_grid(spark, vectors(spark, sf_dir), ratios=(16, 8), subvectors=(4, 8))
 
 

@@ -1,13 +1,19 @@
-"""Session helpers."""
+"""Session helpers: workers that can import this package, the shared folder, tables written there, and global positions."""
 
 from __future__ import annotations
 
+import atexit
 import os
+import tempfile
+import uuid
+from contextlib import contextmanager
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 ROOT = str(Path(__file__).resolve().parent.parent)
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def ship(spark: SparkSession) -> None:
@@ -16,3 +22,82 @@ def ship(spark: SparkSession) -> None:
     paths = [p for p in held.get("PYTHONPATH", "").split(os.pathsep) if p]
     if ROOT not in paths:
         held["PYTHONPATH"] = os.pathsep.join([ROOT, *paths])
+
+
+def shared_root(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir; only a local master may go without and gets one of its own."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if root:
+        return root.rstrip("/")
+    context = spark.sparkContext
+    held = context._jsc.sc().getCheckpointDir()
+    if held.isDefined():
+        return held.get().rstrip("/")
+    if not (context.master == "local" or context.master.startswith("local[")):
+        raise ValueError(f"spark.checkpoint.dir is not set, and the executors of {context.master} share no folder of the driver's")
+    context.setCheckpointDir(tempfile.mkdtemp(prefix="vecspark-"))
+    return context._jsc.sc().getCheckpointDir().get().rstrip("/")
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A fresh path under the shared folder, deleted when the driver ends."""
+    path = f"{shared_root(spark)}/vecspark-{name}-{uuid.uuid4().hex}"
+    atexit.register(remove, spark, path)
+    return path
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a scratch path; a session that has already ended leaves it to the cluster."""
+    try:
+        jvm = spark.sparkContext._jvm
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    except Exception:  # the gateway is gone at interpreter exit
+        return
+
+
+@contextmanager
+def tidy(spark: SparkSession):
+    """What runs in here leaves no shuffle files: its results are tables, caches or rows, which need none."""
+    held = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(CLEANUP, held)
+
+
+def materialise(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
+    """Write ``df`` as Parquet in the shared folder and read it back: cuts lineage, survives lost executors."""
+    spark = df.sparkSession
+    path = path or scratch(spark, name)
+    with tidy(spark):
+        df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def place(marked: DataFrame, out: str) -> DataFrame:
+    """``marked`` (a written table with ``__at``: monotonically increasing ids) with ``out``: 0, 1, ... in their order.
+
+    Only one count per partition is summed in one place.
+    """
+    part = F.shiftright("__at", 33)
+    counts = marked.groupBy(part.alias("__part")).agg(F.count(F.lit(1)).alias("__n"))
+    bases = counts.select("__part", (F.sum("__n").over(Window.orderBy("__part")) - F.col("__n")).alias("__base"))
+    placed = marked.withColumn("__part", part).join(F.broadcast(bases), "__part")
+    return placed.withColumn(out, F.col("__base") + F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))).drop("__at", "__part", "__base")
+
+
+def positions(df: DataFrame, order: list, name: str = "ordered", out: str = "pos") -> DataFrame:
+    """``df`` with ``out``: 0, 1, ... in the order of ``order`` (names or columns); ties must be broken by it.
+
+    Rows are range-partitioned, so a group with a third of all rows is spread over tasks.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = df.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    return place(materialise(ordered.withColumn("__at", F.monotonically_increasing_id()), name), out)
+
+
+def let(value: Column, use) -> Column:
+    """Bind ``value`` once and use it in ``use``: a lambda variable is evaluated one time per row, an inlined column is not."""
+    return F.transform(F.array(value), use)[0]

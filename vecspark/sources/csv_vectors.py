@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .files import positions
+from .files import line_positions
 
 
 def _fields(line: Column) -> Column:
@@ -26,7 +26,7 @@ def has_id(line: Column) -> Column:
 
 def read_csv(spark: SparkSession, path: str, header: bool | None = None, id_column: bool | None = None) -> DataFrame:
     """(vec_id, id, embedding). Blank lines are skipped; a bad number or an uneven row is an error that names its line."""
-    raw = positions(spark.read.text(path)).select(F.col("vec_id").alias("line"), "value").where(F.length(F.trim("value")) > 0)
+    raw = line_positions(spark.read.text(path)).select(F.col("vec_id").alias("line"), "value").where(F.length(F.trim("value")) > 0)
     first = raw.orderBy("line").limit(2).select("line", looks_like_header(F.col("value")).alias("h"), has_id(F.col("value")).alias("i")).collect()
     if not first:
         raise ValueError(f"no rows in {path}")
@@ -42,7 +42,7 @@ def read_csv(spark: SparkSession, path: str, header: bool | None = None, id_colu
     bad = parsed.where(F.exists("embedding", lambda x: x.isNull()) | (F.size("embedding") != width)).orderBy("line").first()
     if bad is not None:
         raise ValueError(f"line {bad['line'] + 1}: not {width} numbers")
-    return positions(parsed.orderBy("line").select("id", "embedding")).select("vec_id", "id", "embedding")
+    return line_positions(parsed.orderBy("line").select("id", "embedding")).select("vec_id", "id", "embedding")
 
 
 def csv_lines(df: DataFrame) -> DataFrame:

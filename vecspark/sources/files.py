@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..session import materialise, place
 
 
 def read_bytes(spark: SparkSession, path: str) -> bytes:
@@ -23,14 +26,6 @@ def write_bytes(spark: SparkSession, path: str, data: bytes) -> None:
         out.close()
 
 
-def positions(df: DataFrame) -> DataFrame:
+def line_positions(df: DataFrame) -> DataFrame:
     """``df`` with ``vec_id``: 0, 1, ... in the order of the input's lines."""
-    from pyspark.sql import Window
-    from pyspark.sql import functions as F
-
-    marked = df.withColumn("__at", F.monotonically_increasing_id()).persist()
-    part = F.shiftright("__at", 33)
-    counts = marked.groupBy(part.alias("__part")).agg(F.count(F.lit(1)).alias("n"))
-    bases = counts.select("__part", (F.sum("n").over(Window.orderBy("__part")) - F.col("n")).alias("__base"))
-    out = marked.withColumn("__part", part).join(F.broadcast(bases), "__part")
-    return out.withColumn("vec_id", F.col("__base") + F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))).drop("__at", "__part", "__base")
+    return place(materialise(df.withColumn("__at", F.monotonically_increasing_id()), "lines"), "vec_id")

@@ -14,7 +14,8 @@ def load_embeddings(spark: SparkSession, path: str) -> DataFrame:
     kind = detect_path(spark, path)
     if kind == "hdf5":
         raise NotImplementedError("HDF5 is recognised but not read")
-    read = {"aqed": aqed.read_aqed, "json": json_vectors.read_json, "csv": csv_vectors.read_csv, "parquet": lambda s, p: s.read.parquet(p)}[kind]
+    mounted = "://" not in path or path.startswith("file:")
+    read = {"aqed": aqed.read_aqed if mounted else aqed.read_aqed_binary, "json": json_vectors.read_json, "csv": csv_vectors.read_csv, "parquet": lambda s, p: s.read.parquet(p)}[kind]
     return check(read(spark, path))
 
 
