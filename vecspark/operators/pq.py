@@ -105,22 +105,22 @@ def kmeans(data: np.ndarray, k: int, iterations: int = 100, restarts: int = 3, t
     if len(data) < k:
         pad = np.zeros if faithful else lambda s: np.full(s, np.inf)
         return np.concatenate([data, pad((k - len(data), data.shape[1]))]), 0.0
-    best, lowest = None, np.inf
-    for run in range(restarts):
-        centroids, last = plusplus(data, k, run * 12345, faithful), np.inf
-        for _ in range(iterations):
-            code, gap = nearest(data, centroids)
-            counts = np.bincount(code, minlength=k)
-            sums = np.stack([np.bincount(code, data[:, d], k) for d in range(data.shape[1])], 1)
-            centroids = np.where(counts[:, None] > 0, sums / np.maximum(counts, 1)[:, None], centroids)
-            now = float(gap.sum())
-            if abs(last - now) < tolerance:
-                break
-            last = now
-        final = float(nearest(data, centroids)[1].sum())
-        if final < lowest:
-            best, lowest = centroids, final
-    return best, lowest
+    return min((lloyd(data, k, run, iterations, tolerance, faithful) for run in range(restarts)), key=lambda found: found[1])
+
+
+def lloyd(data: np.ndarray, k: int, run: int, iterations: int = 100, tolerance: float = 1e-6, faithful: bool = False) -> tuple[np.ndarray, float]:
+    """(centroids, inertia) of one start."""
+    centroids, last = plusplus(data, k, run * 12345, faithful), np.inf
+    for _ in range(iterations):
+        code, gap = nearest(data, centroids)
+        counts = np.bincount(code, minlength=k)
+        sums = np.stack([np.bincount(code, data[:, d], k) for d in range(data.shape[1])], 1)
+        centroids = np.where(counts[:, None] > 0, sums / np.maximum(counts, 1)[:, None], centroids)
+        now = float(gap.sum())
+        if abs(last - now) < tolerance:
+            break
+        last = now
+    return centroids, float(nearest(data, centroids)[1].sum())
 
 
 @dataclass
@@ -131,19 +131,23 @@ class ProductQuantizer:
 
     @classmethod
     def train(cls, df: DataFrame, column: str, config: PQConfig, iterations: int = 100, restarts: int = 3, limit: int = 65_536, faithful: bool = False) -> ProductQuantizer:
-        """One k-means per sub-space, each in a task of its own; at most ``limit`` rows by hash of their id train it."""
+        """One k-means per sub-space and start, each in a task of its own; at most ``limit`` rows by hash of their id train it."""
         ship(df.sparkSession)
         keys = [c for c in df.columns if c != column] or [column]
         rows = df.orderBy(F.md5(F.to_json(F.struct(*keys)).cast("binary"))).limit(limit).select(F.col(column).alias("v"))
         subs = rows.select(F.explode(F.transform(F.sequence(F.lit(0), F.lit(config.n_subvectors - 1)), lambda m: F.struct(m.alias("sub"), V.subvector(V.as_double(F.col("v")), m, config.width).alias("x")))).alias("s")).select("s.sub", "s.x")
+        each = subs.select("sub", "x", F.explode(F.sequence(F.lit(0), F.lit(restarts - 1))).alias("run"))
+        tasks = each.repartition(config.n_subvectors * restarts, F.col("sub") * restarts + F.col("run"))
 
         def fit(table: pa.Table) -> pa.Table:
-            data = np.stack(table.column("x").to_pylist())
-            found, _ = kmeans(data, config.n_centroids, iterations, restarts, faithful=faithful)
-            return pa.table({"sub": pa.array([table.column("sub")[0].as_py()], pa.int32()), "c": pa.array([found.ravel().tolist()])})
-
-        got = {r["sub"]: np.array(r["c"]) for r in subs.groupBy("sub").applyInArrow(fit, "sub int, c array<double>").collect()}  # one codebook
-        return cls(config, np.stack([got[m].reshape(config.n_centroids, config.width) for m in range(config.n_subvectors)]))
+            data, run = dense(table.column("x"), config.width), table.column("run")[0].as_py()
+            found, inertia = kmeans(data, config.n_centroids, iterations, faithful=faithful) if len(data) < config.n_centroids else lloyd(data, config.n_centroids, run, iterations, faithful=faithful)
+            return pa.table({"sub": table.column("sub").slice(0, 1), "run": table.column("run").slice(0, 1), "inertia": pa.array([inertia]), "c": pa.array([found.ravel().tolist()])})
+
+        # One codebook a start reaches the driver; the first of the least inertia is taken.
+        got = sorted(tasks.groupBy("sub", "run").applyInArrow(fit, "sub int, run int, inertia double, c array<double>").collect(), key=lambda r: (r["sub"], r["inertia"], r["run"]))
+        best = {r["sub"]: np.array(r["c"]) for r in reversed(got)}
+        return cls(config, np.stack([best[m].reshape(config.n_centroids, config.width) for m in range(config.n_subvectors)]))
 
     def to_json(self) -> str:
         c = self.config

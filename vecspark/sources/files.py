@@ -26,6 +26,13 @@ def write_bytes(spark: SparkSession, path: str, data: bytes) -> None:
         out.close()
 
 
+def listing(spark: SparkSession, folder: str) -> list[str]:
+    """Names in a folder, none where it does not exist."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    store = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return sorted(s.getPath().getName() for s in store.listStatus(where)) if store.exists(where) else []
+
+
 def line_positions(df: DataFrame) -> DataFrame:
     """``df`` with ``vec_id``: 0, 1, ... in the order of the input's lines."""
     return place(materialise(df.withColumn("__at", F.monotonically_increasing_id()), "lines"), "vec_id")

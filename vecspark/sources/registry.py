@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .files import listing
+
 #: Name, input and output dimension, published rank correlation, source, PQ options.
 MODELS = (
     ("text-minilm", 384, 13, 0.971, "minilm", [7, 4]),
@@ -24,6 +26,26 @@ def models(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "position int, name string, input_dim int, output_dim int, spearman double, source string, pq_options array<int>")
 
 
+def with_weights(spark: SparkSession, folder: str) -> DataFrame:
+    """``models`` with has_weights and n_codebooks from the files of a weights folder, and the custom models found there.
+
+    Weights of a model: a ``.aqwt`` file named after it, or ``*<D>d_<K>d.aqwt|json`` with K = max(4, D div 30);
+    codebooks: ``pq_codebooks/*<name>*.pqcb.json``; custom models: ``custom_<name>_<D>d_<K>d.aqwt``.
+    """
+    files, books = listing(spark, folder), [f for f in listing(spark, f"{folder}/pq_codebooks") if f.endswith(".pqcb.json")]
+    rows = []
+    for k, (name, dim, out, rho, source, options) in enumerate(MODELS):
+        sized = tuple(f"{dim}d_{max(4, dim // 30)}d.{kind}" for kind in ("aqwt", "json"))
+        found = any(f.endswith(".aqwt") and name in f or f.endswith(sized) for f in files)
+        rows.append((k, name, dim, out, rho, source, options, found, sum(name in b for b in books)))
+    for f in sorted(f for f in files if f.startswith("custom_") and f.endswith(".aqwt")):
+        parts = f.removesuffix(".aqwt").split("_")
+        sizes = [int(p[:-1]) if p[:-1].isdigit() else 0 for p in (*parts[2:4], "", "")[:2]]
+        if len(parts) >= 3 and parts[1] not in {r[1] for r in rows}:
+            rows.append((len(rows), parts[1], sizes[0], sizes[1], None, "custom", [], True, sum(parts[1] in b for b in books)))
+    return spark.createDataFrame(rows, "position int, name string, input_dim int, output_dim int, spearman double, source string, pq_options array<int>, has_weights boolean, n_codebooks int")
+
+
 def by_name(spark: SparkSession, name: str) -> DataFrame:
     return models(spark).where((F.col("name") == name) | (F.col("source") == name))
 
