@@ -76,6 +76,35 @@ def test_inert_elements_take_only_their_own_content(tag):
     assert main_text(wrap("<div class=ad><p>Buy now<" + tag + ">x</" + tag + "> and here</div>" + ARTICLE.format("")), W) == PLAIN
 
 
+WORDY = "<h1>Title here</h1><p>First para with words and some more of them to read.</p><p>Last para.</p>"
+WORDY_TEXT = "Title here First para with words and some more of them to read. Last para."
+
+
+@pytest.mark.parametrize("around", [
+    "<article class='post-discussion'>{}</article>", "<div class='article privacy-policy'>{}</div>", "<main><section class='popular-science'>{}</section></main>", "<main><div class='widget'>{}</div></main>", "<div class='sidebar'>{}</div>",
+    "<div class='social-science'><div class='search-form-results'><div class='post-reply'>{}</div></div></div>", "<div><div id=login-page><div class=text>{}</div></div></div>", "<table class='menu-layout content-table'><tr><td>{}</td></tr></table>", "<section id='cookie-recipes'>{}</section>",
+    "<svg class=i/><div>{}</div>", "<div class=share-of-voice>{}<div class=ad>Buy now!</div></div>",
+])
+def test_a_text_is_never_lost_by_the_name_around_it(around):
+    for page in (wrap(around.format(WORDY)), f"<html><head><title>T</title><body>{around.format(WORDY)}", around.format(WORDY)):
+        assert main_text(page, W) == WORDY_TEXT
+
+
+@pytest.mark.parametrize("kind", ["comments", "comment-list", "sidebar", "ad", "related-posts", "newsletter-box", "post-comments"])
+def test_long_furniture_beside_a_text_still_goes(kind):
+    """Without <article> and <main>, too: the text is named or shorter than the rest by less than the shares."""
+    extra = f"<div class='{kind}'>" + "<p>Other words that go on for a long while and say nothing of it.</p>" * 4 + "</div>"
+    for text in (f"<article>{WORDY}</article>", f"<main>{WORDY}</main>", f"<div class=post-body>{WORDY}</div>"):
+        assert main_text(wrap(text + extra), W) == WORDY_TEXT
+        assert main_text(wrap(extra + text), W) == WORDY_TEXT
+    assert main_text(wrap(f"<div><div>{WORDY * 2}</div></div>" + extra), W) == f"{WORDY_TEXT} {WORDY_TEXT}"
+
+
+def test_nested_names_are_surveyed_in_three_passes():
+    deep = "<div class=sidebar-x>" * 5000 + WORDY
+    assert main_text(deep, W) == WORDY_TEXT
+
+
 def test_linear_in_unclosed_elements():
     for piece in ("<select>", "<svg>", "</svg>", "<head>", "<title>", "<object><p>", "<noscript></div>"):
         main_text(piece * 20_000, W)

@@ -7,6 +7,10 @@ weights from labelled pages: log-odds of each kind of token inside and outside t
 text. One linear scan finds the contiguous region with the largest sum; its words are the
 text. The labelled pages are few and fixed, so the weights are the same everywhere.
 
+A name (class, id, role) takes a subtree out only while the page has a text without it: one
+that holds nearly all words outside links, with no main text elsewhere, keeps them whatever
+it is called (``spared``). An element that is furniture by its tag always goes.
+
 Pages are independent rows: no shuffle, memory of one page. The reader is forgiving:
 unclosed, stray and cut tags are allowed, and every pattern is linear in the page.
 
@@ -22,6 +26,7 @@ import math
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -129,10 +134,13 @@ def closed(tags: list[re.Match]) -> set[int]:
 class Page:
     """Words and tags of a page outside furniture: (kind of token, word or None, ends a word)."""
 
-    def __init__(self, source: str):
+    def __init__(self, source: str, spared: frozenset[int] = frozenset(), survey: bool = False):
+        self.spared, self.survey = spared, survey
+        self.records: list[Named] = []
+        self.words = self.main_words = 0
         self.tokens: list[tuple[str, str | None]] = []
         self.text: list[tuple[str, str]] = []
-        stack: list[tuple[str, str | None, bool, bool]] = []  # name, furniture, main, link
+        stack: list[tuple[str, str | None, bool, bool, int]] = []  # name, furniture, main, link, place in records of the innermost furniture by name
         at = 0
         tags = list(_TOKEN.finditer(source))
         inert = closed(tags)
@@ -152,7 +160,7 @@ class Page:
             elif name in INERT:
                 self._hide(name, m.start() in inert, stack)
             else:
-                self._open(name, m["attrs"] or m["attrs2"] or "", stack)
+                self._open(name, m["attrs"] or m["attrs2"] or "", m.start(), stack)
         self._words(source[at:], stack)
 
     def _gap(self) -> None:
@@ -162,11 +170,11 @@ class Page:
         if stack and stack[-1][0] == "head" and name not in HEAD:
             stack.pop()
         if ends:
-            stack.append((name, "hidden", *(stack[-1][2:] if stack else (False, False))))
+            stack.append((name, "hidden", *(stack[-1][2:] if stack else (False, False, -1))))
 
-    def _open(self, name: str, attrs: str, stack: list) -> None:
+    def _open(self, name: str, attrs: str, place: int, stack: list) -> None:
         if name == "head":
-            stack.append((name, "hidden", False, False))
+            stack.append((name, "hidden", False, False, -1))
             return
         if stack and stack[-1][0] == "head" and name not in HEAD:
             stack.pop()
@@ -176,13 +184,13 @@ class Page:
         if name not in INLINE:
             while stack and stack[-1][0] in LOOSE and (name == stack[-1][0] or stack[-1][0] == "p" or stack[-1][0][0] == "h"):
                 stack.pop()
-        kind, main, link = (stack[-1][1:] if stack else (None, False, False))
+        kind, main, link, record = (stack[-1][1:] if stack else (None, False, False, -1))
         if kind and (name == "main" and kind != "hidden" or name == "article" and (kind == "form" or kind[0] == "?" and kind != "?comments")):
             kind = None  # what holds the main text is no furniture
         if kind is None:
             self.tokens.append(("<main>" if main else f"<{name}>", None))
             named, names_main = naming(attrs, name not in HEADINGS) if attrs else (None, False)
-            if name == "body" or name == "html":
+            if name == "body" or name == "html" or place in self.spared:
                 named, names_main = None, False
             if name in MAIN_TAGS and named not in ("comments", "hidden", "aside", "ad"):
                 named = None
@@ -194,16 +202,20 @@ class Page:
             kind = named if named and kind != "byline" else kind
             if kind in ("header", "?header") and main:
                 kind = "byline"
+            if kind and kind == named != "hidden" and name not in FURNITURE_TAGS:
+                self.records.append(Named(place, kind, main, record))
+                record = len(self.records) - 1
+                kind = None if self.survey else kind
             main = main or name in MAIN_TAGS or names_main
             if kind == "byline":
                 kind = None
-                stack.append((name, "byline", main, link))
+                stack.append((name, "byline", main, link, record))
                 return
         elif kind == "byline" and name in HEADINGS:
-            stack.append((name, None, main, link))
+            stack.append((name, None, main, link, record))
             return
         if name not in VOID:
-            stack.append((name, kind, main, link or name == "a"))
+            stack.append((name, kind, main, link or name == "a", record))
 
     def _close(self, name: str, stack: list) -> None:
         for k in range(len(stack) - 1, -1, -1):
@@ -216,14 +228,62 @@ class Page:
                 return
 
     def _words(self, raw: str, stack: list) -> None:
-        if not raw or stack and stack[-1][1] is not None:
+        if not raw:
+            return
+        _, gone, main, link, record = stack[-1] if stack else ("", None, False, False, -1)
+        if not link and gone != "hidden" and (gone is None or record >= 0):
+            n = len(raw.split())
+            self.words += n
+            self.main_words += n * main
+            if record >= 0:
+                self.records[record].words += n
+                self.records[record].main_words += n * main
+        if gone is not None:
             return
-        _, _, main, link = stack[-1] if stack else ("", None, False, False)
         kind = "main" if main else "link" if link else "word"
         self.text.append((kind, references.unescape(raw)))
         self.tokens.append((kind, str(len(self.text) - 1)))
 
 
+@dataclass
+class Named:
+    """A subtree that is furniture by its name: where it opens, its kind, whether it stands in the main text, and the record around it."""
+
+    place: int
+    kind: str
+    inside: bool
+    around: int
+    words: int = 0
+    main_words: int = 0
+
+
+#: A subtree is spared when it has so many times the words of the rest of the page: a label that only has a furniture word in it, and one that is a furniture word or names comments.
+PART_SHARE, WHOLE_SHARE = 3, 9
+
+
+def spared(page: Page) -> frozenset[int]:
+    """Where the named subtrees open that hold nearly all words outside links, with no main text elsewhere (or in the main text themselves)."""
+    for r in reversed(page.records):
+        if r.around >= 0:
+            page.records[r.around].words += r.words
+            page.records[r.around].main_words += r.main_words
+    found = set()
+    for r in page.records:
+        part = r.kind[0] == "?" and r.kind != "?comments"
+        alone = r.main_words == page.main_words or r.inside and part
+        if r.words and alone and r.words > (PART_SHARE if part else WHOLE_SHARE) * (page.words - r.words):
+            found.add(r.place)
+    return frozenset(found)
+
+
+def read(source: str) -> Page:
+    """The page without furniture. Only where a name would take nearly all of it, names are surveyed first."""
+    page = Page(source)
+    if page.records and spared(page):
+        page = Page(source, spared(Page(source, survey=True)))
+    return page
+
+
 def region(page: Page, weights: dict[str, float]) -> tuple[int, int]:
     """Places in ``page.text`` (begin, end) of the best contiguous region; (0, 0) without a positive one.
 
@@ -248,7 +308,7 @@ def region(page: Page, weights: dict[str, float]) -> tuple[int, int]:
 def main_text(source: str | None, weights: dict[str, float]) -> str:
     if not source:
         return ""
-    page = Page(source)
+    page = read(source)
     begin, end = region(page, weights)
     return " ".join("".join(t for _, t in page.text[begin:end]).split())
 
