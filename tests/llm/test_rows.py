@@ -7,7 +7,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from vecspark.llm import bloom, mixing, quality, sharding, urls
+from vecspark.llm import bloom, common, mixing, quality, sharding, urls
 
 from .helpers import ROWS, as_set, clashing, documents, empty
 
@@ -36,11 +36,31 @@ def test_shards(spark):
     assert sharding.manifest(sharding.shard(df, 4)).count() == 4
 
 
-def test_many_values_are_quantised_by_hash(spark, monkeypatch):
-    monkeypatch.setattr(sharding, "MAX_VALUES", 3)
-    out = sharding.shard(documents(spark), 4).collect()
-    counts = [sum(r.shard == s for r in out) for s in range(4)]
-    assert max(counts) - min(counts) <= 1
+def test_long_tables_of_values_give_the_same_shards(spark, monkeypatch):
+    df = documents(spark)
+    want = as_set(sharding.shard(df, 4).collect())
+    monkeypatch.setattr(common, "MAX_BROADCAST_ROWS", 1)
+    assert as_set(sharding.shard(df, 4).collect()) == want
+
+
+def test_a_filter_on_metadata_skips_shards(spark, sf_dir):
+    """A reader that holds a filter against the boxes opens few shards and misses no row."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    out = sharding.shard(docs, 16)
+    boxes, rows = sharding.manifest(out).collect(), out.select("shard", "source_q", "lang_q").collect()
+    opened = []
+    for q in {(r.source_q, r.lang_q) for r in rows}:
+        own = {b.shard for b in boxes if b.min_source_q <= q[0] <= b.max_source_q and b.min_lang_q <= q[1] <= b.max_lang_q}
+        assert {r.shard for r in rows if (r.source_q, r.lang_q) == q} <= own
+        opened.append(len(own))
+    assert sum(opened) / len(opened) < 8
+
+
+def test_rows_without_id_are_no_hot_group(spark):
+    rows = [(None, f"text {i}", "en", "s", 1) for i in range(2000)]
+    out = sharding.shard(documents(spark, rows), 16)
+    assert {r["count"] for r in out.groupBy("shard").count().collect()} == {125}
+    assert sorted(r.slot for r in out.where("shard = 3").collect()) == list(range(125))
 
 
 def measured(text):
@@ -81,7 +101,7 @@ def test_bad_hosts_go(spark):
 
 def test_mix(spark):
     df = documents(spark)
-    out = mixing.copies(clashing(df)).select("doc_id", "source", "__mix.*").collect()
+    out = mixing.copies(clashing(df)).select("row.doc_id", "row.source", "mix.*").collect()
     sizes = {}
     for i, t, _, s, _ in ROWS:
         sizes[s] = sizes.get(s, 0) + len(WORDS.findall(t or ""))
@@ -109,22 +129,35 @@ def test_mix(spark):
 
 def test_mix_comes_near_its_targets(spark):
     rows = [(i, "w " * (i % 40 + 1), "en", f"s{i % 4}", 1) for i in range(4000)]
-    got = mixing.copies(documents(spark, rows)).groupBy("source").agg(F.sum(F.col("__mix.size") * F.col("__mix.copies")).alias("t"), F.first("__mix.target").alias("g")).collect()
+    got = mixing.copies(documents(spark, rows)).groupBy("row.source").agg(F.sum(F.col("mix.size") * F.col("mix.copies")).alias("t"), F.first("mix.target").alias("g")).collect()
     assert all(abs(r.t - r.g) < 0.1 * r.g for r in got)
 
 
-URLS = ["https://A.example.NET/en/x", "http://example.net/en", "http://x.example.com/de/1#f", "http://w.org/fr/", "http://w.org/", None, "no scheme", "http://h.net", "http://net/?q", "https://notexample.net/en/", "http://adult-x.example.com/en/1?p#q", "http://m.adult-x.example.com/en/1/", "://x.org/fr/a"]
+URLS = ["https://A.example.NET/en/x", "http://example.net/en", "http://x.example.com/de/1#f", "http://w.org/fr/", "http://w.org/", None, "no scheme", "http://h.net", "http://net/?q", "https://notexample.net/en/", "http://adult-x.example.com/en/1?p#q", "http://m.adult-x.example.com/en/1/", "://x.org/fr/a", "http://www.spam-farm.example.org/es/10.html", "http://spam-farm.example.org/es/8", "http://spam-farm.example.org/es/010", "http://blog.spam-farm.example.org/es/10", "http://spam-farm.example.org/es/99999"]
 
 
 def test_urls(spark):
     df = spark.createDataFrame([(i, u, "") for i, u in enumerate(URLS)], "page_id long, url string, html string")
-    out = {r.page_id: r for r in urls.judge(df.selectExpr("*", "1 as host", "2 as rule"), urls.listed_urls(df)).collect()}
+    out = {r.page_id: r for r in urls.judge(df.selectExpr("*", "1 as host", "2 as rule", "3 as h", "4 as found"), urls.listed_urls(spark)).collect()}
     assert [(r.host, r.path, r.rule, r.verdict) for _, r in sorted(out.items())] == [
         ("a.example.net", "/en/x", "example.net/en/", "allow"), ("example.net", "/en", "net/", "block"), ("x.example.com", "/de/1", "example.com/de/", "block"), ("w.org", "/fr/", "org/fr/", "allow"), ("w.org", "/", None, "allow"), ("", "", None, "allow"), ("", "", None, "allow"),
         ("h.net", "", None, "allow"), ("net", "/", "net/", "block"), ("notexample.net", "/en/", "net/", "block"), ("adult-x.example.com", "/en/1", None, "block"), ("m.adult-x.example.com", "/en/1/", None, "block"), ("x.org", "/fr/a", "org/fr/", "allow"),
+        ("www.spam-farm.example.org", "/es/10.html", None, "block"), ("spam-farm.example.org", "/es/8", None, "allow"), ("spam-farm.example.org", "/es/010", None, "allow"), ("blog.spam-farm.example.org", "/es/10", None, "allow"), ("spam-farm.example.org", "/es/99999", None, "allow"),
     ]
-    assert urls.judge(df.limit(0), urls.listed_urls(df)).count() == 0
-    assert urls.judge(df, urls.listed_urls(df).limit(0)).where("listed").count() == 0
+    assert urls.judge(df.limit(0), urls.listed_urls(spark)).count() == 0
+    assert urls.judge(df, urls.listed_urls(spark).limit(0)).where("listed").count() == 0
+
+
+def test_the_join_removes_what_a_poor_filter_lets_pass(spark, monkeypatch):
+    pages = spark.range(4000).selectExpr("id as page_id", "concat('http://spam-farm.example.org/es/', id) as url", "'' as html")
+    want = {r.page_id: (r.verdict, r.possible) for r in urls.judge(pages, urls.listed_urls(spark)).collect()}
+    assert {i for i, (v, _) in want.items() if v == "block"} == {i for i in range(4000) if i % 4}
+    assert sum(p for _, p in want.values()) < 3000 + 20
+    monkeypatch.setattr(bloom, "MAX_FILTER_BYTES", 64)
+    monkeypatch.setattr(common, "MAX_BROADCAST_ROWS", 1)
+    poor = {r.page_id: (r.verdict, r.possible) for r in urls.judge(pages, urls.listed_urls(spark)).collect()}
+    assert {i: v for i, (v, _) in poor.items()} == {i: v for i, (v, _) in want.items()}
+    assert all(p for _, p in poor.values())
 
 
 def test_bloom_lets_every_key_pass_and_few_others(spark):
@@ -149,6 +182,8 @@ def test_long_lists_of_bad_hosts_are_salted(spark, monkeypatch):
     rows = [(i, words if i % 20 == 0 else "x", "en", f"bad{i % 3}" if i % 7 else None, 1) for i in range(600)] + [(1000 + i, words, "en", f"h{i % 9}", 1) for i in range(200)]
     df = documents(spark, rows)
     want = as_set(quality.judge(df).collect())
-    monkeypatch.setattr(quality, "MAX_BROADCAST_HOSTS", 1)
+    mixed = as_set(mixing.copies(df).collect())
+    monkeypatch.setattr(common, "MAX_BROADCAST_ROWS", 1)
+    assert as_set(mixing.copies(df).collect()) == mixed
     assert as_set(quality.judge(df).collect()) == want
     assert {r.doc_id for r in quality.reject(df).collect()} == set(range(1000, 1200))

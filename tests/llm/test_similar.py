@@ -87,6 +87,16 @@ def test_keep_one(spark):
     assert J.keep_one(df).columns == df.columns
 
 
+def test_keep_one_keeps_other_texts_of_an_id(spark, monkeypatch):
+    a, b, c = (" ".join(f"{k}{i}" for i in range(60)) for k in "abc")
+    rows = [(5, a, "en", "s", 1), (5, a, "en", "s", 1), (5, b, "en", "s", 1), (3, b, "en", "s", 1), (7, c, "en", "s", 1), (7, "", "en", "s", 1), (8, None, "en", "s", 1), *[(100 + i, c, "en", "s", 1) for i in range(50)]]
+    df = documents(spark, rows)
+    want = sorted([(5, a), (3, b), (7, c), (7, ""), (8, None)], key=repr)
+    for large in (J.LARGE_CLASS, 2.0):
+        monkeypatch.setattr(J, "LARGE_CLASS", large)
+        assert sorted([(r.doc_id, r.text) for r in J.keep_one(df).collect()], key=repr) == want
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(0, 60)] + [(100, i) for i in range(101, 140)] + [(7, 7), (200, 201)]
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}

@@ -2,6 +2,9 @@
 
 One 512-bit block a key, BITS_SET bits in it. The size is bounded by MAX_FILTER_BYTES: a
 filter of more keys than that serves lets more pass, so callers always join exactly after.
+
+Null keys are in no filter, repeated keys set the same bits, and a filter without keys lets
+nothing pass.
 """
 
 from __future__ import annotations
@@ -10,8 +13,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StructField, StructType
 
 from .common import map_arrow
 
@@ -61,16 +66,22 @@ def build(keys: DataFrame) -> np.ndarray:
     return bits
 
 
-def possible(rows: DataFrame, bits: np.ndarray) -> DataFrame:
-    """``rows`` (h long, ...) whose key may be in the filter."""
+def marked(rows: DataFrame, bits: np.ndarray, out: str) -> DataFrame:
+    """``rows`` (h long, ...) with ``out``: whether the key may be in the filter; false for a null key."""
     held = rows.sparkSession.sparkContext.broadcast(bits)
     at = rows.columns.index("h")
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table_ = held.value
         for batch in batches:
-            block, masks = positions(batch.column(at).to_numpy(zero_copy_only=False).astype(np.int64), len(table_))
-            hit = ((table_[block] & masks) == masks).all(axis=1)
-            yield batch.filter(pa.array(hit))
+            keys = batch.column(at)
+            block, masks = positions(pc.fill_null(keys, 0).to_numpy(zero_copy_only=False).astype(np.int64), len(table_))
+            hit = ((table_[block] & masks) == masks).all(axis=1) & np.asarray(keys.is_valid())
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(hit)], names=[*batch.schema.names, out])
+
+    return map_arrow(rows, probe, StructType([*rows.schema.fields, StructField(out, BooleanType())]))
 
-    return map_arrow(rows, probe, rows.schema)
+
+def possible(rows: DataFrame, bits: np.ndarray) -> DataFrame:
+    """``rows`` (h long, ...) whose key may be in the filter."""
+    return marked(rows, bits, "__hit").where("__hit").drop("__hit")

@@ -1,72 +1,25 @@
-"""Shared pieces: the shared folder, materialised tables and the word rule."""
+"""Shared pieces: the word rule, lookups and running sums without hot tasks, and the session helpers under one name.
 
-from __future__ import annotations
+Nulls: ``n_words`` counts a null text as none, ``look_up`` treats null as a value of its own,
+``running`` wants an order that breaks ties. Empty tables give empty tables.
+"""
 
-import atexit
-import tempfile
-import uuid
-from contextlib import contextmanager
+from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..session import ship
+from ..session import let, materialise, positions, remove, scratch, shared_root, ship, tidy
+
+__all__ = ["BLANKS", "BLANK_RUN", "WORD", "let", "look_up", "map_arrow", "materialise", "n_words", "own_columns", "positions", "remove", "running", "scratch", "shared_root", "table", "tidy"]
 
 #: A word is a run of anything but these six ASCII blanks; everything else, other Unicode blanks included, belongs to words.
 BLANKS = r"\x20\x09-\x0D"
 WORD = f"[^{BLANKS}]+"
 BLANK_RUN = f"[{BLANKS}]+"
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-
-
-def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, else one of our own (local runs and tests)."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if root:
-        return root.rstrip("/")
-    context = spark.sparkContext
-    held = context._jsc.sc().getCheckpointDir()
-    if held.isDefined():
-        return held.get().rstrip("/")
-    context.setCheckpointDir(tempfile.mkdtemp(prefix="vecspark-"))
-    return context._jsc.sc().getCheckpointDir().get().rstrip("/")
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path under the shared folder, deleted when the driver ends."""
-    path = f"{shared_root(spark)}/vecspark-{name}-{uuid.uuid4().hex}"
-    atexit.register(remove, spark, path)
-    return path
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    """Delete a scratch path; a session that has already ended leaves it to the cluster."""
-    try:
-        jvm = spark.sparkContext._jvm
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-    except Exception:  # the gateway is gone at interpreter exit
-        return
-
-
-@contextmanager
-def tidy(spark: SparkSession):
-    """What runs in here leaves no shuffle files: its results are tables, caches or rows, which need none."""
-    held = spark.conf.get(CLEANUP, "false")
-    spark.conf.set(CLEANUP, "true")
-    try:
-        yield
-    finally:
-        spark.conf.set(CLEANUP, held)
-
-
-def materialise(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = path or scratch(spark, name)
-    with tidy(spark):
-        df.write.mode("overwrite").option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+#: Up to so many rows a table of values is broadcast; a longer one is dealt to SALTS copies, so that a hot key is many groups.
+MAX_BROADCAST_ROWS = 10_000
+SALTS = 64
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -78,27 +31,40 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def let(value: Column, use) -> Column:
-    """Bind ``value`` once and use it in ``use``: a lambda variable is evaluated one time per row, an inlined column is not."""
-    return F.transform(F.array(value), use)[0]
-
-
 def map_arrow(df: DataFrame, run, schema: str) -> DataFrame:
     """``df.mapInArrow`` in workers that can import this package."""
     ship(df.sparkSession)
     return df.mapInArrow(run, schema)
 
 
-def positions(df: DataFrame, order: list[str], name: str) -> DataFrame:
-    """``df`` with ``pos``: 0, 1, ... in the order of the columns ``order``.
+def own_columns(df: DataFrame) -> DataFrame:
+    """``df`` as one struct column ``row``, so that no column of its own can clash with those an operator adds."""
+    return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"))
+
+
+def look_up(rows: DataFrame, key: Column, values: DataFrame) -> DataFrame:
+    """``rows`` with ``found``: the struct that ``values`` (key, found; one row a key) has for ``key``, null without one; a null key is a value."""
+    own, listed = rows.withColumn("__key", F.struct(key.alias("k"))), values.select(F.struct(F.col("key").alias("k")).alias("__name"), "found")
+    same = F.col("__key") == F.col("__name")
+    if values.limit(MAX_BROADCAST_ROWS + 1).count() <= MAX_BROADCAST_ROWS:
+        joined = own.join(F.broadcast(listed), same, "left")
+    else:
+        dealt = listed.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        own = own.withColumn("__own", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int"))
+        joined = own.join(dealt, same & (F.col("__own") == F.col("__salt")), "left").drop("__own", "__salt")
+    return joined.drop("__key", "__name")
+
+
+def running(df: DataFrame, order: list, sums: list[str], name: str) -> DataFrame:
+    """``df`` with ``before_<c>`` for each column of ``sums``: its sum over the rows before, in the order of ``order``.
 
-    Rows are range-partitioned, so a group with a third of all rows is spread over tasks;
-    only one count per partition is summed in one place.
+    Range partitions are summed on their own and shifted by the partitions before them.
     """
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     marked = materialise(df.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("__at", F.monotonically_increasing_id()), name)
-    part = F.shiftright("__at", 33)
-    counts = marked.groupBy(part.alias("__part")).agg(F.count(F.lit(1)).alias("__n"))
-    bases = counts.select("__part", (F.sum("__n").over(Window.orderBy("__part")) - F.col("__n")).alias("__base"))
-    placed = marked.withColumn("__part", part).join(F.broadcast(bases), "__part")
-    return placed.withColumn("pos", F.col("__base") + F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))).drop("__at", "__part", "__base")
+    marked = marked.withColumn("__part", F.shiftright("__at", 33))
+    totals = marked.groupBy("__part").agg(*[F.sum(c).alias(f"__{c}") for c in sums])
+    bases = totals.select("__part", *[(F.sum(f"__{c}").over(Window.orderBy("__part")) - F.col(f"__{c}")).alias(f"__{c}") for c in sums])
+    within = Window.partitionBy("__part").orderBy("__at")
+    placed = marked.select("*", *[(F.sum(c).over(within) - F.col(c)).alias(f"before_{c}") for c in sums]).join(F.broadcast(bases), "__part")
+    return placed.select(*df.columns, *[(F.col(f"before_{c}") + F.col(f"__{c}")).alias(f"before_{c}") for c in sums])

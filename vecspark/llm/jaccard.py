@@ -24,8 +24,9 @@ none is held in one place, and a block is the largest thing in memory besides on
 Defined results: null, empty and blank texts have no shingle, component_id = doc_id and no
 links; texts below ``words`` words have one shingle, the whole sequence; doc_id names a
 document: repeated rows of an id are the same node; rows of null doc_id are in no class and
-have null component_id; an empty table gives no rows; extra columns are ignored (``keep_one``
-keeps the columns of its input).
+have null component_id; an empty table gives no rows; extra columns are ignored. ``keep_one``
+keeps the columns of its input; of rows that repeat id and text one stays, and another text of
+an id is judged on its own.
 """
 
 from __future__ import annotations
@@ -37,11 +38,11 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bloom
-from .common import map_arrow, materialise, positions, remove, scratch, table
+from .common import map_arrow, materialise, own_columns, positions, remove, scratch, table
 from .components import components
 
 #: Sets above this size always go to the inverted lists; below, the cost decides.
@@ -164,12 +165,14 @@ def slice_limit(num: int, den: int) -> int:
     return int(min(1.0, SLICE * (1 - num / den)) * (1 << 63))
 
 
-SETS = "doc_id long, n int, h1 long, h2 long, nu int, e array<long>, whole array<long>"
+SETS = "doc_id long, t long, n int, h1 long, h2 long, nu int, e array<long>, whole array<long>"
+#: Classes with more than this share of all rows, and so fewer than its inverse, are joined back by broadcast.
+LARGE_CLASS = 1 / 2000
 
 
 def shingle_sets(documents: DataFrame, words: int, num: int, den: int) -> DataFrame:
-    """One row a document: size, key, number of members in the slice, the members that may be listed, all members of small sets."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int32()), ("h1", pa.int64()), ("h2", pa.int64()), ("nu", pa.int32()), ("e", pa.list_(pa.int64())), ("whole", pa.list_(pa.int64()))])
+    """One row a document: hash of its text, size, key, number of members in the slice, the members that may be listed, all members of small sets."""
+    schema = pa.schema([("doc_id", pa.int64()), ("t", pa.int64()), ("n", pa.int32()), ("h1", pa.int64()), ("h2", pa.int64()), ("nu", pa.int32()), ("e", pa.list_(pa.int64())), ("whole", pa.list_(pa.int64()))])
     limit = np.uint64(slice_limit(num, den))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -188,11 +191,15 @@ def shingle_sets(documents: DataFrame, words: int, num: int, den: int) -> DataFr
                     first.append(own[: max(inside, listed(len(own), num, den))].astype(np.int64) if len(own) else own.astype(np.int64))
                     whole.append(own.astype(np.int64) if 0 < len(own) <= SMALL_MAX else None)
                 yield pa.record_batch(
-                    [ids.cast(pa.int64()), pa.array(n, pa.int32()), pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()), pa.array(nu, pa.int32()), pa.array(first, pa.list_(pa.int64())), pa.array(whole, pa.list_(pa.int64()))],
+                    [ids.cast(pa.int64()), batch.column(2).slice(low, 512), pa.array(n, pa.int32()), pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()), pa.array(nu, pa.int32()), pa.array(first, pa.list_(pa.int64())), pa.array(whole, pa.list_(pa.int64()))],
                     schema=schema,
                 )
 
-    return map_arrow(documents.select("doc_id", "text"), run, SETS)
+    return map_arrow(documents.select("doc_id", "text", text_hash(F.col("text")).alias("t")), run, SETS)
+
+
+def text_hash(text: Column) -> Column:
+    return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
 def subsets(s: int, top: int, num: int, den: int) -> int:
@@ -361,10 +368,10 @@ def verify(documents: DataFrame, members: DataFrame, words: int, num: int, den:
 
 
 def similar(documents: DataFrame, words: int = 4, num: int = 85, den: int = 100) -> DataFrame:
-    """doc_id, n_shingles, component_id, n_links: one row for each row of ``documents``."""
+    """doc_id, t (hash of the text), n_shingles, component_id, n_links: one row for each row of ``documents``."""
     spark, path = documents.sparkSession, scratch(documents.sparkSession, "sets")
     wide = materialise(shingle_sets(documents, words, num, den), "sets", path)
-    sets = materialise(wide.select("doc_id", "n", "h1", "h2"), "keys")
+    sets = materialise(wide.select("doc_id", "t", "n", "h1", "h2"), "keys")
     first = [F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), *[F.first(c).alias(c) for c in ("nu", "e", "whole")]]
     classes = materialise(wide.where("n > 0 and doc_id is not null").groupBy("n", "h1", "h2").agg(*first), "classes")
     remove(spark, path)  # members are held once a class from here on
@@ -385,20 +392,26 @@ def similar(documents: DataFrame, words: int = 4, num: int = 85, den: int = 100)
 
     joined = components(found.select("a", "b")).select(F.col("node").alias("rep"), "component")
     links = found.groupBy("a").agg(F.sum("links").alias("links")).withColumnRenamed("a", "rep")
-    verdicts = keys.join(joined, "rep", "left").join(links, "rep", "left").select("n", "h1", "h2", F.coalesce("component", "rep").alias("component"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"))
-    own = sets.select("doc_id", "n", "h1", "h2")
-    out = own.join(verdicts, ["n", "h1", "h2"], "left")
-    alone = (F.col("n") == 0) | F.col("doc_id").isNull()
-    return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(alone, F.col("doc_id")).otherwise(F.col("component")).alias("component_id"), F.when(alone, F.lit(0)).otherwise(F.col("links")).cast("long").alias("n_links"))
+    verdicts = keys.join(joined, "rep", "left").join(links, "rep", "left").select("n", "h1", "h2", "copies", F.coalesce("component", "rep").alias("component"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"))
+    # Rows without a set need no join; the few classes that hold a large share of the rows are broadcast, so no key is hot.
+    key, alone = ["n", "h1", "h2"], (F.col("n") == 0) | F.col("doc_id").isNull()
+    large = F.broadcast(materialise(verdicts.where(F.col("copies") > LARGE_CLASS * sets.count()), "large"))
+    named = sets.where(~alone)
+    hot = named.join(large, key)
+    others = named.join(large.select(*key), key, "left_anti").join(verdicts, key, "left")
+    lone = sets.where(alone).select("*", F.col("doc_id").alias("component"), F.lit(0).alias("links"))
+    out = [d.select("doc_id", "t", F.col("n").cast("long").alias("n_shingles"), F.col("component").alias("component_id"), F.col("links").cast("long").alias("n_links")) for d in (hot, others, lone)]
+    return out[0].unionByName(out[1]).unionByName(out[2])
 
 
 def keep_one(documents: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """``documents`` with one row of each group: that of the smallest doc_id; texts without words and rows without id all stay."""
     groups = similar(documents, words, num, den)
-    dropped = groups.where("component_id <> doc_id").select(F.col("doc_id").alias("__drop")).distinct()
-    named = documents.where("doc_id is not null").join(dropped, F.col("doc_id") == F.col("__drop"), "left_anti").dropDuplicates(["doc_id"])
-    return named.unionByName(documents.where("doc_id is null"))
+    dropped = groups.where("component_id <> doc_id").select(F.col("doc_id").alias("drop_id"), F.col("t").alias("drop_t")).distinct()
+    rows = own_columns(documents).select("row", F.col("row.doc_id").cast("long").alias("id"), text_hash(F.col("row.text")).alias("t"))
+    named = rows.where("id is not null").join(dropped, (F.col("id") == F.col("drop_id")) & (F.col("t") == F.col("drop_t")), "left_anti").dropDuplicates(["id", "t"])
+    return named.select("row.*").unionByName(documents.where("doc_id is null"))
 
 
 def op2_similar_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return similar(table(spark, sf_dir, "documents"), 4, 85, 100)
+    return similar(table(spark, sf_dir, "documents"), 4, 85, 100).select("doc_id", "n_shingles", "component_id", "n_links")

@@ -8,25 +8,26 @@ shuffled before the verdicts are joined back, so a source with a third of all ro
 one partial aggregate per task.
 
 The fixed point is found in closed form: capped sources are a prefix of the order by
-3 x words / weight, so cumulative sums over the table of sources give the level.
+3 x words / weight, so running sums over the table of sources, by range partitions, give the
+level; no task sees all sources. The rates are joined back by broadcast while they are few,
+salted beyond.
 
 Defined results: null text has no words; null source is a source, last in order; a
 source without words has target 0 and its documents are not taken; null doc_id draws as
-the empty id; repeated rows draw alike; an empty table gives no rows; extra columns stay.
+the empty id; repeated rows draw alike; an empty table gives no rows;
+extra columns, whatever their names, stay.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import n_words, table
+from .common import look_up, n_words, own_columns, positions, running, table
 
 WEIGHTS = (5, 2, 1)
 REPEAT_LIMIT = 3
 SEED = 17
-#: Beyond so many sources the rates are joined by shuffle instead of broadcast.
-MAX_BROADCAST_SOURCES = 10_000
 
 
 def draw(key: Column, seed: int) -> Column:
@@ -38,49 +39,38 @@ def draw(key: Column, seed: int) -> Column:
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, limit: int = REPEAT_LIMIT) -> DataFrame:
     """(source, source_size, target) from (source, size): one row per source. Sums are whole numbers, so any order of adding gives the same."""
     sums = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
-    place = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
-    weight = F.get(F.array(*[F.lit(w) for w in weights]), (place % len(weights)).cast("int"))
-    ranked = sums.withColumn("place", place).withColumn("weight", weight.cast("long"))
-    order = Window.orderBy(F.col("source_size") / F.col("weight"), "place")
-    upto = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    whole = Window.partitionBy()
-    run = (
-        ranked.withColumn("total", F.sum("source_size").over(whole))
-        .withColumn("words_before", F.sum("source_size").over(upto) - F.col("source_size"))
-        .withColumn("weight_left", F.sum("weight").over(whole) - F.sum("weight").over(upto) + F.col("weight"))
-        .withColumn("level", (F.col("total") - limit * F.col("words_before")).cast("double") / F.col("weight_left").cast("double"))
-        .withColumn("capped", limit * F.col("source_size") <= F.col("weight") * F.col("level"))
-    )
-    first = F.min(F.when(~F.col("capped"), F.struct((F.col("source_size") / F.col("weight")).alias("r"), F.col("place"), F.col("level")))).over(whole)
-    target = F.when(F.col("capped"), (limit * F.col("source_size")).cast("double")).otherwise(F.col("weight").cast("double") * first["level"])
-    return run.select("source", "source_size", target.alias("target"))
+    placed = positions(sums, [F.col("source").asc_nulls_last()], "sources", "place")
+    weight = F.get(F.array(*[F.lit(w) for w in weights]), (F.col("place") % len(weights)).cast("int")).cast("long")
+    ranked = placed.withColumn("weight", weight).withColumn("ratio", F.col("source_size") / F.col("weight"))
+    run = running(ranked, ["ratio", "place"], ["source_size", "weight"], "levels")
+    whole = run.agg(F.coalesce(F.sum("source_size"), F.lit(0)).alias("words"), F.coalesce(F.sum("weight"), F.lit(0)).alias("weight")).first()  # two numbers
+    level = (F.lit(whole["words"]) - limit * F.col("before_source_size")).cast("double") / (F.lit(whole["weight"]) - F.col("before_weight")).cast("double")
+    run = run.withColumn("level", level).withColumn("capped", limit * F.col("source_size") <= F.col("weight") * F.col("level"))
+    first = run.where(~F.col("capped")).agg(F.min(F.struct("ratio", "place", "level")).alias("f")).first()["f"]  # one row
+    share = F.col("weight").cast("double") * F.lit(first["level"] if first else 0.0)
+    return run.select("source", "source_size", F.when(F.col("capped"), (limit * F.col("source_size")).cast("double")).otherwise(share).alias("target"))
 
 
 def copies(documents: DataFrame, seed: int = SEED, weights: tuple[int, ...] = WEIGHTS, limit: int = REPEAT_LIMIT) -> DataFrame:
-    """``documents`` with one struct column ``__mix``: size, source_size, target, copies."""
-    rows = documents.withColumn("__size", n_words(F.col("text")))
-    rates = targets(rows.select("source", F.col("__size").alias("size")), weights, limit).select(F.col("source").alias("__source"), "source_size", "target")
-    if rates.limit(MAX_BROADCAST_SOURCES + 1).count() <= MAX_BROADCAST_SOURCES:
-        rates = F.broadcast(rates)
-    rates = rates.select(F.col("__source"), F.struct("source_size", "target").alias("__rate"))
-    joined = rows.join(rates, rows["source"].eqNullSafe(F.col("__source")), "left").drop("__source")
-    rate = F.when(F.col("__rate.source_size") > 0, F.col("__rate.target") / F.col("__rate.source_size")).otherwise(F.lit(0.0))
+    """(row, mix): the columns of ``documents`` as one struct; size, source_size, target and copies as another."""
+    rows = own_columns(documents).withColumn("size", n_words(F.col("row.text")))
+    rates = targets(rows.select(F.col("row.source").alias("source"), "size"), weights, limit)
+    joined = look_up(rows, F.col("row.source"), rates.select(F.col("source").alias("key"), F.struct("source_size", "target").alias("found")))
+    rate = F.when(F.col("found.source_size") > 0, F.col("found.target") / F.col("found.source_size")).otherwise(F.lit(0.0))
     whole = F.floor(rate)
-    n = (whole + F.when(draw(F.col("doc_id"), seed) < rate - whole, 1).otherwise(0)).cast("int")
-    mixed = F.struct(F.col("__size").alias("size"), F.col("__rate.source_size").alias("source_size"), F.col("__rate.target").alias("target"), n.alias("copies"))
-    return joined.withColumn("__mix", mixed).drop("__size", "__rate")
+    n = (whole + F.when(draw(F.col("row.doc_id"), seed) < rate - whole, 1).otherwise(0)).cast("int")
+    return joined.select("row", F.struct("size", "found.source_size", "found.target", n.alias("copies")).alias("mix"))
 
 
 def mix(documents: DataFrame, seed: int = SEED, weights: tuple[int, ...] = WEIGHTS, limit: int = REPEAT_LIMIT) -> DataFrame:
     """The mix itself: each document as often as it is taken, with the columns of ``documents``."""
-    taken = copies(documents, seed, weights, limit).where("__mix.copies > 0")
-    each = taken.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__mix.copies"))))
-    return each.select(*[F.col(f"`{c}`") for c in documents.columns])
+    taken = copies(documents, seed, weights, limit).where("mix.copies > 0")
+    return taken.select("row", F.explode(F.sequence(F.lit(1), F.col("mix.copies"))).alias("copy")).select("row.*")
 
 
 def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = copies(table(spark, sf_dir, "documents"))
-    return out.select("doc_id", "__mix.size", "__mix.source_size", "__mix.target", (F.col("__mix.size") * F.col("__mix.copies")).cast("long").alias("taken"))
+    return out.select("row.doc_id", "mix.size", "mix.source_size", "mix.target", (F.col("mix.size") * F.col("mix.copies")).cast("long").alias("taken"))
 
 
 OP9_SQL = f"""

@@ -11,9 +11,13 @@ written to the shared folder and used for both the sums and the join. Sums per h
 partial in every task, so a host with a third of all rows is no hot group; only rejected
 hosts are joined back, by broadcast while they are few and salted beyond.
 
+Repeated windows are looked for by the number of distinct window hashes; only texts that
+have some are sorted to place them.
+
 Defined results: null text has no words and fails; null source is a host of its own;
 rows are judged one by one, so repeated rows and ids give the same verdict each; an empty
-table gives no rows; extra columns stay (``reject`` keeps the columns of its input).
+table gives no rows; extra columns, whatever their names, stay (``reject`` keeps the columns
+of its input).
 """
 
 from __future__ import annotations
@@ -21,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BLANK_RUN, let, materialise, table
+from .common import BLANK_RUN, let, look_up, materialise, own_columns, table
 
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS = 50
@@ -29,8 +33,6 @@ MIN_WORDS = 50
 REPEAT_PERCENT = 50
 #: A host is rejected when more than half of its documents are expected to fail a rule.
 HOST_LIMIT = 0.5
-MAX_BROADCAST_HOSTS = 10_000
-SALTS = 64
 RULES = ("too_short", "repetitive", "symbols", "dup_lines")
 
 
@@ -41,12 +43,15 @@ def measures(text: Column) -> Column:
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(f"[^\\x20\\x09-\\x0D]"))
 
     def repeats(w: Column) -> Column:
-        starts = F.sequence(F.lit(0), F.size(w) - 3)
-        keyed = F.array_sort(F.transform(starts, lambda i: F.struct(F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)).alias("h"), i.alias("i"))))
+        hashes = F.transform(F.sequence(F.lit(0), F.size(w) - 3), lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)))
         twice = lambda s: F.filter(s, lambda x, k: (F.get(s, k - 1)["h"] == x["h"]) | F.coalesce(F.get(s, k + 1)["h"] == x["h"], F.lit(False)))
-        found = let(keyed, lambda s: F.array_sort(F.transform(twice(s), lambda x: x["i"])))
-        covered = F.aggregate(found, F.struct(F.lit(-1).alias("end"), F.lit(0).alias("n")), lambda a, i: F.struct((i + 2).alias("end"), (a["n"] + i + 2 - F.greatest(a["end"], i - 1)).alias("n")), lambda a: a["n"])
-        return F.when(F.size(w) < 3, F.lit(0)).otherwise(covered)
+
+        def covered(h: Column) -> Column:
+            keyed = F.array_sort(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
+            found = let(keyed, lambda s: F.sort_array(F.transform(twice(s), lambda x: x["i"])))
+            return F.aggregate(found, F.struct(F.lit(-1).alias("end"), F.lit(0).alias("n")), lambda a, i: F.struct((i + 2).alias("end"), (a["n"] + i + 2 - F.greatest(a["end"], i - 1)).alias("n")), lambda a: a["n"])
+
+        return F.when(F.size(w) < 3, F.lit(0)).otherwise(let(hashes, lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0)).otherwise(covered(h))))
 
     by_words = let(words, lambda w: F.struct(F.size(w).cast("long").alias("n"), F.aggregate(w, F.lit(0), lambda a, x: a + F.length(x)).cast("long").alias("c"), repeats(w).cast("long").alias("r")))
     by_lines = let(lines, lambda x: (F.size(x) - F.size(F.array_distinct(x))).cast("long"))
@@ -88,35 +93,19 @@ def rejected_hosts(measured: DataFrame) -> DataFrame:
     return shrunk.where(F.col("rate") >= HOST_LIMIT).select("host").distinct()
 
 
-def mark_hosts(rows: DataFrame, column: str, bad: DataFrame, out: str) -> DataFrame:
-    """``rows`` with ``out``: whether the host is in ``bad`` (host, once each).
-
-    A short list is broadcast; a long one is dealt to SALTS copies, so a hot host is many groups.
-    """
-    listed = bad.select(F.struct("host").alias("__bad"), F.lit(True).alias(out))
-    key = F.struct(F.col(column).alias("host")) == F.col("__bad")
-    if bad.limit(MAX_BROADCAST_HOSTS + 1).count() <= MAX_BROADCAST_HOSTS:
-        marked = rows.join(F.broadcast(listed), key, "left")
-    else:
-        dealt = listed.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        own = rows.withColumn("__own", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
-        marked = own.join(dealt, key & (F.col("__own") == F.col("__salt")), "left")
-    return marked.select(*[F.col(f"`{c}`") for c in rows.columns], F.coalesce(out, F.lit(False)).alias(out))
-
-
 def judge(documents: DataFrame) -> DataFrame:
     """(doc_id, host, m, base_failed, kept): one row for each row of ``documents``."""
     measured = materialise(documents.select("doc_id", F.col("source").alias("host"), measures(F.col("text")).alias("m")), "quality")
-    bad = materialise(rejected_hosts(measured), "hosts")
-    judged = measured.withColumn("base_failed", base_failed("m"))
-    return mark_hosts(judged, "host", bad, "__shut").select("doc_id", "host", "m", "base_failed", (~F.col("base_failed") & ~F.col("__shut")).alias("kept"))
+    shut = rejected_hosts(measured).select(F.col("host").alias("key"), F.struct(F.lit(True).alias("shut")).alias("found"))
+    marked = look_up(measured.withColumn("base_failed", base_failed("m")), F.col("host"), shut)
+    return marked.select("doc_id", "host", "m", "base_failed", (~F.col("base_failed") & F.col("found").isNull()).alias("kept"))
 
 
 def reject(documents: DataFrame) -> DataFrame:
     """The rows of ``documents`` that are kept, with its columns. Rows are measured once and held with their counts for the second look."""
-    measured = materialise(documents.withColumn("__m", measures(F.col("text"))), "measured")
-    bad = materialise(rejected_hosts(measured.select(F.col("source").alias("host"), F.col("__m").alias("m"))), "hosts")
-    return mark_hosts(measured.where(~base_failed("__m")), "source", bad, "__shut").where("not __shut").select(*[F.col(f"`{c}`") for c in documents.columns])
+    measured = materialise(own_columns(documents).withColumn("m", measures(F.col("row.text"))), "measured")
+    shut = rejected_hosts(measured.select(F.col("row.source").alias("host"), "m")).select(F.col("host").alias("key"), F.struct(F.lit(True).alias("shut")).alias("found"))
+    return look_up(measured.where(~base_failed("m")), F.col("row.source"), shut).where("found is null").select("row.*")
 
 
 def op4_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,10 +5,11 @@ size class). Neighbouring cells of the curve differ in one step of one dimension
 each run covers a compact box of metadata and its min/max statistics let a reader
 skip it. The law is ``rows``: counts of two shards differ by one at most.
 
-Plan: two small distinct-value tables give order-preserving equi-depth quantisers;
-cells are split by a hash of the key so that a hot cell (a source with a third of all
-rows) is many groups; only counts of (cell, split) are summed globally (at most
-4,096 x SPLITS rows), so no task sees all rows.
+Plan: texts are read once, for size and checksum; two distinct-value tables give
+order-preserving equi-depth quantisers by running sums over range partitions, at any
+number of values; cells are split by a hash of id, checksum and size so that a hot cell (a
+source with a third of all rows) is many groups; only counts of (cell, split) are summed
+globally (at most 4,096 x SPLITS rows), so no task sees all rows.
 
 Defined results: null text has no bytes (size 1); null source or language is a value
 of its own, first in order; null doc_id is ordered first; rows that repeat exactly
@@ -20,13 +21,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import look_up, materialise, running, table
 
 BITS = 4
 DIMENSIONS = 3
 SPLITS = 256
-#: Above so many distinct values a dimension is quantised by hash, so that no table of values is broadcast or summed in one task.
-MAX_VALUES = 65_536
 
 
 def hilbert_index(axes: list[Column], bits: int) -> Column:
@@ -58,35 +57,29 @@ def hilbert_index(axes: list[Column], bits: int) -> Column:
     return F.aggregate(masks, F.lit(0), lambda acc, m: F.aggregate(bound, acc, lambda a, v: a * 2 + F.when(v.bitwiseAND(m) != 0, 1).otherwise(0)))
 
 
-def quantiser(df: DataFrame, name: str, bits: int) -> DataFrame | None:
-    """(value, code): values in order, cut so that each code holds about as many rows; None above MAX_VALUES values."""
-    counts = df.groupBy(F.col(name).alias("value")).agg(F.count(F.lit(1)).alias("n"))
-    if counts.limit(MAX_VALUES + 1).count() > MAX_VALUES:
-        return None
-    before = Window.orderBy(F.col("value").asc_nulls_first())
-    below = F.sum("n").over(before) - F.col("n")
-    total = F.sum("n").over(Window.partitionBy())
-    return counts.select("value", F.floor(below * (1 << bits) / total).cast("int").alias("code"))
+def quantiser(df: DataFrame, name: str, bits: int) -> DataFrame:
+    """(key, found.code): values in order, cut so that each code holds about as many rows; running sums by range partitions."""
+    counts = df.groupBy(F.col(name).alias("key")).agg(F.count(F.lit(1)).alias("n"))
+    run = running(counts, [F.col("key").asc_nulls_first()], ["n"], f"values-{name}")
+    total = run.agg(F.sum("n")).first()[0] or 1  # one number
+    return run.select("key", F.struct(F.floor(F.col("before_n") * (1 << bits) / total).cast("int").alias("code")).alias("found"))
 
 
 def coded(df: DataFrame, name: str, bits: int) -> DataFrame:
-    """``df`` with ``name_q``; the table of values is broadcast only below MAX_VALUES rows."""
-    values = quantiser(df, name, bits)
-    if values is None:
-        return df.withColumn(f"{name}_q", F.pmod(F.xxhash64(name), F.lit(1 << bits)).cast("int"))
-    values = values.withColumnRenamed("value", f"{name}_v").withColumnRenamed("code", f"{name}_q")
-    return df.join(F.broadcast(values), df[name].eqNullSafe(values[f"{name}_v"]), "left").drop(f"{name}_v")
+    """``df`` with ``name_q``."""
+    return look_up(df, F.col(name), quantiser(df, name, bits)).withColumn(f"{name}_q", F.col("found.code")).drop("found")
 
 
 def shard(documents: DataFrame, shards: int = 16, bits: int = BITS) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard, cell."""
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = documents.select("doc_id", F.col("source"), F.col("lang"), (F.octet_length(text).cast("long") + 1).alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
+    rows = materialise(rows, "rows")  # texts are read once
     meta = coded(coded(rows, "source", bits), "lang", bits)
     high = (1 << bits) - 1
     size_class = F.greatest(F.lit(0), F.least(F.lit(high), F.length(F.bin("size")) - 4))
-    split = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(SPLITS)).cast("int")
-    placed = meta.withColumn("cell", hilbert_index([F.col("source_q"), F.col("lang_q"), size_class], bits)).withColumn("part", split)
+    split = F.pmod(F.xxhash64("doc_id", "text_crc32", "size"), F.lit(SPLITS)).cast("int")
+    placed = materialise(meta.withColumn("cell", hilbert_index([F.col("source_q"), F.col("lang_q"), size_class], bits)).withColumn("part", split).drop("source", "lang"), "cells")
 
     counts = placed.groupBy("cell", "part").agg(F.count(F.lit(1)).alias("n"))
     cells = counts.groupBy("cell").agg(F.sum("n").alias("cell_n"))

@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import map_arrow, table, tidy
+from .common import map_arrow, own_columns, table, tidy
 
 #: Bound of the training sample: labelled rows used to fit, the first by hash of their id.
 TRAIN_LIMIT = 20_000
@@ -311,8 +311,7 @@ def judge(documents: DataFrame, labels: DataFrame) -> DataFrame:
 def reject(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``documents`` that are not predicted toxic, with its columns."""
     score = scorer(documents.sparkSession, fit(documents, labels))
-    scored = documents.withColumn("__score", score("text"))
-    return scored.where(F.col("__score") < THRESHOLD).select(*[F.col(f"`{c}`") for c in documents.columns])
+    return own_columns(documents).withColumn("score", score("row.text")).where(F.col("score") < THRESHOLD).select("row.*")
 
 
 def op5_toxic_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
