@@ -108,6 +108,16 @@ def test_padded_sequences(spark):
     assert [np.frombuffer(r.ids, "<u4").tolist() for r in out] == [flat[:4], [*flat[4:], 9] if len(flat) == 7 else flat[4:8]]
 
 
+def test_sequences_of_repeated_and_nameless_rows(spark):
+    texts = [(1, "one two three"), (1, "one two three"), (None, "four five"), (None, None), (2, "one two three"), (1, "six")]
+    df = documents(spark, [(i, t, "en", "a", 1) for i, t in texts])
+    held = packing.tokenise(df.coalesce(1), P.path(NAMES[1]), 1)
+    out = packing.sequences(held, packing.cut(held, 4), 9, 4).orderBy("sequence_id").collect()
+    flat = [i for _, t in texts for i in LIBRARY[NAMES[1]](t) + [1]]
+    assert sum((np.frombuffer(r.ids, "<u4").tolist()[: r.n] for r in out), []) == flat
+    assert [r.n for r in out[:-1]] == [4] * (len(out) - 1)
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.binary(max_size=200_000))
 def test_transport_round_trip(data):
@@ -125,7 +135,13 @@ def test_damaged_streams():
     packets = [stream[i : i + 188] for i in range(0, len(stream), 188)]
     assert media.demux(b"".join(packets[:10] + packets[11:]))["continuity_errors"] == 1
     twice = media.demux(b"".join(packets[:10] + [packets[9]] + packets[10:]))
-    assert twice["payload"] == media.pad(b"x" * 50_000)
+    assert (twice["payload"], twice["continuity_errors"]) == (media.pad(b"x" * 50_000), 0)
+    assert media.demux(b"".join([*packets[:1], packets[0], *packets[1:]]))["continuity_errors"] == 0
+    many = media.mux(media.pad(bytes(range(256)) * 3000))
+    tables = [i for i in range(0, len(many), 188) if (many[i + 1] & 31) << 8 | many[i + 2] == media.PAT_PID]
+    assert len(tables) > 1
+    assert media.demux(many[: tables[1]] + many[tables[1] + 188 :])["continuity_errors"] == 0  # the last table packet: nothing comes after it
+    assert media.demux(many[188:] + many[:188])["continuity_errors"] == 1  # its counter steps back
     with pytest.raises(ValueError, match="whole number"):
         media.demux(stream[1:])
     with pytest.raises(ValueError, match="CRC"):
@@ -133,6 +149,29 @@ def test_damaged_streams():
     assert media.crc_mpeg(b"123456789") == 0x0376E6E7
 
 
+@pytest.mark.parametrize("data", [b"x" * 200_000, bytes(range(256)) * 800])
+@pytest.mark.parametrize("lost", [1, 2, 14, 15, 16, 17, 31, 32, 48])
+@pytest.mark.parametrize("at", [3, 10, 150, 195, 400])
+def test_lost_packets_are_seen_and_nothing_is_made_up(data, lost, at):
+    payload = media.pad(data)
+    stream = media.mux(payload)
+    got = media.demux(stream[: 188 * at] + stream[188 * (at + lost) :])
+    assert got["continuity_errors"] + got["uneven_units"] > 0
+    assert len(got["payload"]) < len(payload)
+    intact = [payload[i : i + media.UNITS * media.BLOCK] for i in range(0, len(payload), media.UNITS * media.BLOCK)]
+    held = got["payload"]
+    assert held.startswith(intact[0]) or at < 202  # units before the loss are whole
+    assert held.endswith(intact[-1]) or at + lost > 188 * len(stream) // 188 - 202
+
+
+def test_timestamps_go_on_beyond_33_bits():
+    wrap = 1 << 33
+    last = 0
+    for pts in range(wrap - 5000, wrap + 5000, 1080):
+        last = media.unwrapped(media.read_timestamp(media.timestamp(pts)), last)
+        assert last == pts
+
+
 def test_media_rows(spark):
     out = media.decode(media.encode(clashing(documents(spark)))).collect()
     want = sorted((repr(i), hashlib.sha256(media.pad((t or "").encode())).hexdigest(), len((t or "").encode())) for i, t, *_ in ROWS)

@@ -12,7 +12,11 @@ Rows are independent: no shuffle, memory of one row and one output batch at a ti
 Defined results: null text is an empty payload (one block of padding); repeated rows give
 repeated results and equal texts equal streams; null doc_id stays null; an empty table
 gives no rows; extra columns are ignored. A damaged stream raises on a bad sync byte or
-table CRC and counts continuity errors otherwise.
+table CRC. Otherwise it counts continuity errors (a step of a counter, on the tables' and the
+stream's packets alike, without a sign of discontinuity, or a repeated counter whose packet is
+not a copy of the one before) and uneven units (elementary packets of fewer or more bytes
+than they say, as when sixteen packets are lost, which counters do not show). What is left of
+a short unit is never filled from the next one.
 """
 
 from __future__ import annotations
@@ -135,8 +139,29 @@ def sections(packets: np.ndarray) -> Iterator[bytes]:
         yield found
 
 
+def continuity(own: np.ndarray) -> tuple[np.ndarray, int]:
+    """(packets that are copies of the one before, breaks of the counter) of the packets of one PID.
+
+    A copy has the same counter and the same bytes but for the clock reference.
+    """
+    if not len(own):
+        return np.zeros(0, bool), 0
+    step = np.diff((own[:, 3] & 15).astype(np.int16)) % 16
+    unlike = own[1:] != own[:-1]
+    clocked = (own[:, 3] & 0x20 != 0) & (own[:, 4] >= 7) & (own[:, 5] & 0x10 != 0)
+    unlike[clocked[1:] & clocked[:-1], 6:12] = False
+    again = (step == 0) & ~unlike.any(1)
+    announced = (own[1:, 3] & 0x20 != 0) & (own[1:, 4] > 0) & (own[1:, 5] & 0x80 != 0)
+    return np.concatenate([[False], again]), int(((step != 1) & ~again & ~announced).sum())
+
+
+def unwrapped(pts: int, last: int) -> int:
+    """A 33-bit timestamp as the number nearest to the one before it."""
+    return pts + ((last - pts + (1 << 32)) >> 33 << 33) if last else pts
+
+
 def demux(stream: bytes) -> dict:
-    """payload, programs, streams, packets, continuity_errors, pts, random_access (packet numbers)."""
+    """payload, programs, streams, packets, continuity_errors, uneven_units, pts, random_access (packet numbers)."""
     packets = np.frombuffer(stream, np.uint8)
     if len(packets) % PACKET or (packets[::PACKET] != SYNC).any():
         raise ValueError("not a whole number of transport packets")
@@ -152,13 +177,13 @@ def demux(stream: bytes) -> dict:
             while i < len(s) - 4:
                 streams[int.from_bytes(s[i + 1 : i + 3], "big") & 0x1FFF] = s[i]
                 i += 5 + (int.from_bytes(s[i + 3 : i + 5], "big") & 0xFFF)
-    payload, pts, access, errors = [], [], [], 0
+    payload, pts, access, uneven = [], [], [], 0
+    errors = sum(continuity(packets[pid == where])[1] for where in {PAT_PID, *programs.values()})
     for where in sorted(streams):
         numbers = np.flatnonzero((pid == where) & (packets[:, 3] & 0x10 != 0))
         own = packets[numbers]
-        step = np.diff((own[:, 3] & 15).astype(np.int16)) % 16
-        again = np.concatenate([[False], step == 0])
-        errors += int((step > 1).sum())
+        again, broken = continuity(own)
+        errors += broken
         numbers, own = numbers[~again], own[~again]
         field = own[:, 3] & 0x20 != 0
         begin = np.where(field, 5 + own[:, 4].astype(np.int64), 4)
@@ -172,10 +197,11 @@ def demux(stream: bytes) -> dict:
                 raise ValueError("an elementary packet has no start code")
             head = a + 9 + joined[a + 8]
             if joined[a + 7] & 0x80:
-                pts.append(read_timestamp(joined[a + 9 : a + 14]))
+                pts.append(unwrapped(read_timestamp(joined[a + 9 : a + 14]), pts[-1] if pts else 0))
             length = int.from_bytes(joined[a + 4 : a + 6], "big")
-            payload.append(joined[head : a + 6 + length if length else b])
-    return {"payload": b"".join(payload), "programs": programs, "streams": streams, "packets": len(packets), "continuity_errors": errors, "pts": pts, "random_access": access}
+            uneven += bool(length) and a + 6 + length != b
+            payload.append(joined[head : min(a + 6 + length, b) if length else b])
+    return {"payload": b"".join(payload), "programs": programs, "streams": streams, "packets": len(packets), "continuity_errors": errors, "uneven_units": uneven, "pts": pts, "random_access": access}
 
 
 def batches(rows: Iterator[tuple], schema: pa.Schema, weigh) -> Iterator[pa.RecordBatch]:
@@ -225,8 +251,8 @@ def decode(stored: DataFrame) -> DataFrame:
                     d = demux(stream)
                     p = d["payload"]
                     mean = int(np.frombuffer(p, np.uint8).sum(dtype=np.int64)) // len(p)
-                    feature = f"programs={len(d['programs'])};streams={','.join(f'{k:x}:{v:x}' for k, v in sorted(d['streams'].items()))};packets={d['packets']};units={len(d['pts'])};access={len(d['random_access'])};errors={d['continuity_errors']};last_pts={d['pts'][-1]};mean={mean}"
-                    yield doc_id.as_py(), n.as_py(), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-32:]), len(stream), hashlib.sha256(stream).hexdigest(), feature, d["pts"], d["random_access"], d["continuity_errors"]
+                    feature = f"programs={len(d['programs'])};streams={','.join(f'{k:x}:{v:x}' for k, v in sorted(d['streams'].items()))};packets={d['packets']};units={len(d['pts'])};access={len(d['random_access'])};errors={d['continuity_errors'] + d['uneven_units']};last_pts={d['pts'][-1]};mean={mean}"
+                    yield doc_id.as_py(), n.as_py(), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-32:]), len(stream), hashlib.sha256(stream).hexdigest(), feature, d["pts"], d["random_access"], d["continuity_errors"] + d["uneven_units"]
 
         yield from batches(rows(), DIGEST, lambda r: 400 + 16 * len(r[8]))
 

@@ -6,9 +6,12 @@ multiples of the window. Every sequence but the last is full, so padding is belo
 window for the whole corpus. Nothing but totals is shuffled, and a long document is cut
 into as many pieces as it has windows.
 
+A row of the token table is named by (part, place), which no two rows share, so repeated
+and null ids are rows of their own in pieces and sequences.
+
 Defined results: null text has the end id only; null doc_id and repeated rows are packed
-like others; an empty table gives no pieces; extra columns are ignored. The order of
-documents is that of the input's partitions.
+like others; very long texts span many sequences; an empty table gives no pieces; extra
+columns are ignored. The order of documents is that of the input's partitions.
 """
 
 from __future__ import annotations
@@ -28,7 +31,8 @@ from .tokens import encoder
 LENGTH = 2048
 BATCH_DOCS = 1024
 TOKENS = "part int, doc_id long, place long, n_tokens long, ids binary"
-PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+COLUMNS = ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+PIECES = ", ".join(f"{c} long" for c in (*COLUMNS, "part", "place"))
 
 
 def tokenise(documents: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
@@ -51,12 +55,12 @@ def tokenise(documents: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
 
 
 def cut(tokens: DataFrame, length: int = LENGTH) -> DataFrame:
-    """Pieces of tokenised documents (as ``tokenise`` wrote them): the boundary records of sequences of ``length`` ids."""
+    """Pieces of tokenised documents (as ``tokenise`` wrote them): the boundary records of sequences of ``length`` ids, with (part, place) of their token row."""
     totals = tokens.groupBy("part").agg(F.sum("n_tokens").alias("n"))
     bases = totals.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("base"))
     # One row a partition of the input: small however large the corpus.
-    placed = tokens.join(F.broadcast(bases), "part").select("doc_id", (F.col("base") + F.col("place")).alias("at"), "n_tokens", "ids")
-    schema = pa.schema([(c, pa.int64()) for c in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")])
+    placed = tokens.join(F.broadcast(bases), "part").select("doc_id", (F.col("base") + F.col("place")).alias("at"), "n_tokens", "ids", F.col("part").cast("long").alias("part"), "place")
+    schema = pa.schema([(c, pa.int64()) for c in (*COLUMNS, "part", "place")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -71,20 +75,22 @@ def cut(tokens: DataFrame, length: int = LENGTH) -> DataFrame:
             ids, crcs = [memoryview(x.as_buffer()) for x in batch.column(3)], []
             for r, a, b in zip(row.tolist(), (4 * start).tolist(), (4 * (end - at[row])).tolist(), strict=True):
                 crcs.append(zlib.crc32(ids[r][a:b]))
-            yield pa.record_batch([batch.column(0).take(pa.array(row)), pa.array(start), pa.array(end - begin), pa.array(crcs, pa.int64()), pa.array(n[row]), pa.array(sequence), pa.array(begin - sequence * length)], schema=schema)
+            own = pa.array(row)
+            yield pa.record_batch([batch.column(0).take(own), pa.array(start), pa.array(end - begin), pa.array(crcs, pa.int64()), pa.array(n[row]), pa.array(sequence), pa.array(begin - sequence * length), batch.column(4).take(own), batch.column(5).take(own)], schema=schema)
 
     return map_arrow(placed, run, PIECES)
 
 
 def pack(documents: DataFrame, tokenizer: str, end_id: int = 1, length: int = LENGTH) -> DataFrame:
-    return cut(materialise(tokenise(documents, tokenizer, end_id), "tokens"), length)
+    return cut(materialise(tokenise(documents, tokenizer, end_id), "tokens"), length).select(*COLUMNS)
 
 
 def sequences(tokens: DataFrame, pieces: DataFrame, pad_id: int, length: int = LENGTH) -> DataFrame:
-    """(sequence_id, ids): the packed sequences, each padded to ``length`` unless its own length is a power of two."""
-    parts = pieces.join(tokens.select("doc_id", F.hex("ids").alias("h"), F.col("n_tokens").alias("doc_tokens")), ["doc_id", "doc_tokens"])
-    own = parts.select("sequence_id", "offset", "length", F.expr("substring(h, cast(8 * start as int) + 1, cast(8 * length as int))").alias("h"))
-    whole = own.groupBy("sequence_id").agg(F.sum("length").alias("n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("offset", "h"))), lambda x: x["h"]), "").alias("h"))
+    """(sequence_id, n, ids): the packed sequences of ``cut``, each padded to ``length`` unless its own length is a power of two."""
+    own = tokens.select(F.col("part").cast("long").alias("part"), "place", F.hex("ids").alias("h"))
+    parts = pieces.join(own, ["part", "place"])
+    parts = parts.select("sequence_id", "offset", "length", F.expr("substring(h, cast(8 * start as int) + 1, cast(8 * length as int))").alias("h"))
+    whole = parts.groupBy("sequence_id").agg(F.sum("length").alias("n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("offset", "h"))), lambda x: x["h"]), "").alias("h"))
     power = F.col("n").bitwiseAND(F.col("n") - 1) == 0
     one = int(pad_id).to_bytes(4, "little").hex().upper()
     padded = F.when(power, F.col("h")).otherwise(F.concat("h", F.expr(f"repeat('{one}', cast({length} - n as int))")))
