@@ -1,3 +1,4 @@
+import math
 import random
 
 import pytest
@@ -37,8 +38,31 @@ def test_segments_are_the_maximal_ones():
         n = rng.randint(1, 25)
         hits = {i: rng.uniform(0.1, 3) for i in rng.sample(range(n), rng.randint(1, min(n, 8)))}
         cost = -rng.uniform(0.05, 1)
-        got = [(b, e, round(s, 6)) for b, e, s in X.segments(sorted(hits.items()), cost)]
-        assert got == brute([hits.get(i, cost) for i in range(n)])
+        against = {i: -rng.uniform(1, 2) for i in rng.sample(range(n), n // 5) if i not in hits}
+        got = [(b, e, round(s, 6)) for b, e, s in X.segments(sorted({**hits, **against}.items()), cost)]
+        assert got == brute([{**hits, **against}.get(i, cost) for i in range(n)])
+
+
+def test_scale_and_size_of_the_extreme_value_law():
+    model = X.Model(background=-0.05)
+    clean = {3.0: 4.0, 1.0: 20.0, -2.0: 10.0}
+    scale = X.scale_of(clean, [3.0, 1.0], 10_000, model)
+    share = {s: (n + (0.25 if s > 0 else 0)) / 10_001 for s, n in clean.items()}
+    assert sum(p * math.exp(scale * s) for s, p in share.items()) + (1 - sum(share.values())) * math.exp(scale * model.background) == pytest.approx(1)
+    rarity = X.rarity_of({3.0: 4.0, 1.0: 20.0}, [1.0], 10_000, scale)
+    for s, n in ((3.0, 4), (1.0, 24)):
+        assert rarity * 10_001 * math.exp(-scale * s) >= n - 1e-9
+    assert X.rarity_of({}, [], 0, 1.0) <= 1
+
+
+@pytest.mark.parametrize(("sf", "area", "found", "wrong"), [("sf0.01", 0.88, 14, 0)])
+def test_held_out_rows_of_the_given_tables(spark, sf, area, found, wrong):
+    docs, labels = (spark.read.parquet(f"/root/testdata/{sf}/{t}.parquet") for t in ("documents", "labels"))
+    rows = X.judge(docs, labels).join(labels.select("doc_id", "toxic"), "doc_id").where("held_out and toxic is not null").collect()
+    bad, good = [r.score for r in rows if r.toxic], [r.score for r in rows if not r.toxic]
+    assert sum((b > g) + (b == g) / 2 for b in bad for g in good) / len(bad) / len(good) >= area
+    assert sum(s >= X.THRESHOLD for s in bad) >= found
+    assert sum(s >= X.THRESHOLD for s in good) <= wrong
 
 
 def corpus(spark, n=400, seed=0):

@@ -2,20 +2,24 @@
 
 Fit: documents of the labelled training rows (TRAIN_LIMIT at most, chosen by hash of the
 id) give, for each word and each word stem, the number of toxic and of clean documents
-with it. Log-odds with a Dirichlet prior at the base rate and their variance pick the
-lexicon; every other token has the small negative weight that its share in toxic and clean
-text implies. Score: a linear scan (Ruzzo and Tompa, 1999) lists every maximal-scoring
-segment; by the extreme-value law of such segments (Karlin and Altschul, 1990) a segment
-of score S among n tokens is worth L S - ln(K n), and the significant ones add up to the
-document's evidence, which a ridge logistic curve on the training rows turns into a
-probability.
+with it. Each counted word has its log-odds with a Dirichlet prior at the base rate, for or
+against, where they differ from 0 by more than their error; a word that is too rare to tell
+stands at the small negative weight that the share of telling words in toxic and clean text
+implies. Score: a linear scan (Ruzzo and Tompa, 1999) lists every maximal-scoring segment.
+By the extreme-value law of such segments
+(Karlin and Altschul, 1990) a segment of score S among n tokens is worth L S - ln(K n): L
+solves sum p(s) exp(L s) = 1 over the token scores s of clean training text, and K is the
+least one for which the law's number of segments, K n exp(-L S), is at no score below what
+the clean training text has. The significant segments add up to the document's evidence,
+which a ridge logistic curve on the training rows turns into a probability.
 
 Texts are scored whole, row by row, without a shuffle; the model is a few thousand numbers.
 
 Defined results: null and empty texts have no evidence and the score of no evidence;
 repeated rows score alike; null doc_id counts as the empty id for the fold; labels that are
 null, or of ids without a document, are not used; without any toxic or clean training row
-the score is the base rate everywhere; extra columns are ignored (``reject`` keeps them).
+the score is the base rate everywhere; very long texts are scanned whole; an empty table
+gives no rows; extra columns, whatever their names, are ignored (``reject`` keeps them).
 """
 
 from __future__ import annotations
@@ -33,15 +37,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import map_arrow, own_columns, table, tidy
+from .common import map_arrow, materialise, own_columns, table, tidy
 
 #: Bound of the training sample: labelled rows used to fit, the first by hash of their id.
 TRAIN_LIMIT = 20_000
-#: Bound of the lexicon's candidates that reach the driver, the best by log-odds over their error.
-MAX_LEXICON = 20_000
 STEMS = (4, 5, 6)
 PRIOR = 2.0
-#: Least log-odds over its error for a word among 300 training rows; it grows by MORE_Z with each tenfold number of rows, as more words are tried.
+#: Errors by which the log-odds of a word must differ from 0 among 300 training rows; MORE_Z more with each tenfold number of rows, as more words are tried.
 MIN_Z = 3.0
 MORE_Z = 0.75
 #: A stem needs MIN_STEM_Z more and so many times as many toxic documents as clean ones.
@@ -102,7 +104,7 @@ class Memo(dict):
 
 
 def segments(hits: list[tuple[int, float]], background: float) -> list[tuple[int, int, float]]:
-    """All maximal-scoring segments (begin, end, score) of a text whose tokens score ``background`` but for ``hits``.
+    """All maximal-scoring segments (begin, end, score) of a text whose tokens score ``background`` but for ``hits`` (place, weight).
 
     One pass; each candidate is held with the sums before and after it.
     """
@@ -110,6 +112,9 @@ def segments(hits: list[tuple[int, float]], background: float) -> list[tuple[int
     total, last = 0.0, 0
     for at, weight in hits:
         total += background * (at - last)
+        if weight <= 0:
+            total, last = total + weight, at + 1
+            continue
         own = [at, at + 1, total, total + weight]
         total, last = total + weight, at + 1
         while True:
@@ -137,11 +142,26 @@ def evidence(text: str | None, memo: Memo) -> tuple[float, list[tuple[int, int,
     return sum(f[2] for f in found), found
 
 
+def found_in(text: str | None, memo: Memo) -> list[tuple[int, int, float]]:
+    """All maximal-scoring segments of a text with their scores."""
+    return segments([(i, s) for i, s in enumerate(map(memo.__getitem__, tokens(text))) if s], memo.model.background)
+
+
+def rarity_of(clean: dict[float, float], weights: list[float], n_clean: int, scale: float) -> float:
+    """Least K with K n exp(-L S) at no score S below the number of clean segments of that score or more; at least half a segment of the least weight."""
+    count, best = 0.0, 0.5 * math.exp(min(scale * min(weights, default=0.0), 700.0))
+    for s in sorted(clean, reverse=True):
+        count += clean[s]
+        best = max(best, count * math.exp(min(scale * s, 700.0)))
+    return min(max(best / (n_clean + 1), 1e-6), 1.0)
+
+
 def training_rows(documents: DataFrame, labels: DataFrame, limit: int = TRAIN_LIMIT) -> DataFrame:
     """(text, toxic) of at most ``limit`` labelled rows outside the held-out fold; equal texts once."""
     own = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     chosen = own.select("doc_id", F.col("toxic").cast("int").alias("toxic")).dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
-    rows = documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    # The texts are read once; what is kept of them is bounded.
+    rows = materialise(documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id"), "labelled")
     names = [f"s{k}" for k in range(SIGNATURES)]
     schema = pa.schema([("doc_id", pa.int64()), ("toxic", pa.int32()), *[(c, pa.int64()) for c in names]])
 
@@ -204,8 +224,8 @@ def _fit(rows: DataFrame) -> Model:
         odds = F.log(a / b) - F.lit(math.log(base / (1 - base)))
         scored = counts.where(~F.col("key").isin(bytearray(b"#"), bytearray(b"#tokens"))).withColumn("odds", odds).withColumn("z", odds / F.sqrt(1 / a + 1 / b))
         least = MIN_Z + MORE_Z * math.log10(max(1.0, (n_toxic + n_clean) / 300))
-        strong = scored.where(F.col("z") >= least).orderBy(F.desc("z"), "key").limit(MAX_LEXICON).collect()
-        weights = {bytes(r["key"]): r["odds"] for r in strong if not bytes(r["key"]).endswith(b"*") or r["z"] >= least + MIN_STEM_Z and r["toxic"] > STEM_RATIO * r["clean"]}
+        telling = scored.where(F.abs("z") >= least).collect()  # words of the bounded training rows that many of them have
+        weights = {bytes(r["key"]): r["odds"] for r in telling if not bytes(r["key"]).endswith(b"*") or r["z"] >= least + MIN_STEM_Z and r["toxic"] > STEM_RATIO * r["clean"]}
         counts.unpersist()
         model = Model(weights=weights)
         return calibrate(model, rows, totals[b"#tokens"])
@@ -214,49 +234,65 @@ def _fit(rows: DataFrame) -> Model:
 
 
 def calibrate(model: Model, rows: DataFrame, n_tokens: tuple[int, int]) -> Model:
-    """Background weight, extreme-value scale and logistic curve from the training rows."""
-    shared = rows.sparkSession.sparkContext.broadcast(model)
-
-    def measure(kind: str):
-        schema = pa.schema([("toxic", pa.int32()), ("value", pa.float64()), ("mass", pa.float64())])
+    """Background weight, extreme-value scale and size, and the logistic curve from the training rows."""
+    schema = pa.schema([("toxic", pa.int32()), ("value", pa.float64()), ("mass", pa.float64())])
 
+    def measure(shared, each) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             memo = Memo(shared.value)
             for batch in batches:
-                out = []
-                for text, toxic in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
-                    if kind == "hits":
-                        scores = [s for s in map(memo.__getitem__, tokens(text.as_py())) if s]
-                        out.append((toxic, float(len(scores)), sum(scores)))
-                    else:
-                        out.append((toxic, evidence(text.as_py(), memo)[0], 0.0))
-                yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out, strict=True), schema.types, strict=True)], schema=schema) if out else pa.RecordBatch.from_pylist([], schema=schema)
+                out = [(toxic, *pair) for text, toxic in zip(batch.column(0), batch.column(1).to_pylist(), strict=True) for pair in each(text.as_py(), memo)]
+                if out:
+                    yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out, strict=True), schema.types, strict=True)], schema=schema)
 
         return map_arrow(rows, run, "toxic int, value double, mass double")
 
-    sums = {r["toxic"] > 0: (r["n"], r["m"]) for r in measure("hits").groupBy("toxic").agg(F.sum("value").alias("n"), F.sum("mass").alias("m")).collect()}
-    q_toxic = (sums.get(True, (0, 0))[0] + 0.5) / (n_tokens[0] + 1)
-    q_clean = (sums.get(False, (0, 0))[0] + 0.5) / (n_tokens[1] + 1)
+    def scores(text: str | None, memo: Memo):
+        return [(round(s, 2), float(n)) for s, n in Counter(map(memo.__getitem__, tokens(text))).items() if s]
+
+    context = rows.sparkSession.sparkContext
+    shared = context.broadcast(model)
+    found = measure(shared, scores).groupBy((F.col("toxic") > 0).alias("toxic"), "value").agg(F.sum("mass").alias("n")).collect()  # a histogram of rounded scores
+    shared.unpersist()
+    hits = {kind: sum(r["n"] for r in found if r["toxic"] == kind and r["value"] > 0) for kind in (True, False)}
+    q_toxic, q_clean = (hits[True] + 0.5) / (n_tokens[0] + 1), (hits[False] + 0.5) / (n_tokens[1] + 1)
     model.background = min(math.log1p(-min(q_toxic, 0.9)) - math.log1p(-min(q_clean, 0.9)), -1e-3)
-    typical = sum(m for _, m in sums.values()) / max(1.0, sum(n for n, _ in sums.values()))
-    # Scale: q_clean exp(L w) + (1 - q_clean) exp(L background) = 1 has one positive root.
-    if typical > 0:
-        low, high = 0.0, 50.0 / typical
-        for _ in range(100):
-            middle = (low + high) / 2
-            value = q_clean * math.exp(middle * typical) + (1 - q_clean) * math.exp(middle * model.background)
-            low, high = (middle, high) if value < 1 else (low, middle)
-        model.scale = max(high, 0.1)
-    model.rarity = max(1 - math.exp(model.scale * model.background), 1e-6)
+    model.scale = scale_of({r["value"]: r["n"] for r in found if not r["toxic"]}, [w for w in model.weights.values() if w > 0], n_tokens[1], model)
+    shared = context.broadcast(model)
+    found = measure(shared, lambda text, memo: [(round(s, 2), 1.0) for _, _, s in found_in(text, memo)]).where("toxic <= 0").groupBy("value").agg(F.sum("mass").alias("n")).collect()
+    model.rarity = rarity_of({r["value"]: r["n"] for r in found}, [w for w in model.weights.values() if w > 0], n_tokens[1], model.scale)
     shared.unpersist()
-    shared = rows.sparkSession.sparkContext.broadcast(model)
-    got = measure("evidence").select("toxic", "value").toArrow()  # as many numbers as training rows, TRAIN_LIMIT at most
+    shared = context.broadcast(model)
+    got = measure(shared, lambda text, memo: [(evidence(text, memo)[0], 0.0)]).select("toxic", "value").toArrow()  # as many numbers as training rows, TRAIN_LIMIT at most
     y, x = got.column("toxic").to_numpy() > 0, np.log1p(got.column("value").to_numpy())
     model.bias, model.slope = logistic(x, y.astype(float))
     shared.unpersist()
     return model
 
 
+def scale_of(clean: dict[float, float], weights: list[float], n_clean: int, model: Model) -> float:
+    """L > 0 with sum p(s) exp(L s) = 1 over the scores of clean tokens; the background is lowered where their mean would not be negative.
+
+    A word for toxicity that no clean row has counts as half a hit, spread over the scores.
+    """
+    if not weights:
+        return 1.0
+    counts = Counter(clean)
+    for w in weights:
+        counts[round(w, 2)] += 0.5 / len(weights)
+    share = {s: n / (n_clean + 1) for s, n in counts.items()}
+    rest, mean = max(1 - sum(share.values()), 1e-9), sum(s * p for s, p in share.items())
+    model.background = min(model.background, -2 * max(mean, 0.0) / rest)
+    low, high = 0.0, 1.0
+    value = lambda scale: sum(p * math.exp(min(scale * s, 700.0)) for s, p in share.items()) + rest * math.exp(scale * model.background)
+    while value(high) < 1 and high < 1e6:
+        low, high = high, 2 * high
+    for _ in range(100):
+        middle = (low + high) / 2
+        low, high = (middle, high) if value(middle) < 1 else (low, middle)
+    return max(high, 0.1)
+
+
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05) -> tuple[float, float]:
     """Bias and slope of a ridge logistic curve, by Newton steps."""
     design, w = np.stack([np.ones_like(x), x], 1), np.zeros(2)
