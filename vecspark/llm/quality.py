@@ -7,7 +7,9 @@ HOST_LIMIT is rejected; the verdict is joined back to its documents.
 
 Native expressions only: words, windows and lines are arrays of one row, counted by
 sorting 64-bit hashes of the row's own windows. Texts are measured once; the counts are
-written to the shared folder and used for both the sums and the join. Sums per host are
+written to the shared folder and used for both the sums and the join. They are far smaller
+than the texts, so they are gathered into files of the advisory size first: a task of its own
+for each part of the texts does not leave a small file of its own. Sums per host are
 partial in every task, so a host with a third of all rows is no hot group; only rejected
 hosts are joined back, by broadcast while they are few and salted beyond.
 
@@ -95,7 +97,8 @@ def rejected_hosts(measured: DataFrame) -> DataFrame:
 
 def judge(documents: DataFrame) -> DataFrame:
     """(doc_id, host, m, base_failed, kept): one row for each row of ``documents``."""
-    measured = materialise(documents.select("doc_id", F.col("source").alias("host"), measures(F.col("text")).alias("m")), "quality")
+    rows = documents.select("doc_id", F.col("source").alias("host"), measures(F.col("text")).alias("m"))
+    measured = materialise(rows.hint("rebalance", "doc_id"), "quality")
     shut = rejected_hosts(measured).select(F.col("host").alias("key"), F.struct(F.lit(True).alias("shut")).alias("found"))
     marked = look_up(measured.withColumn("base_failed", base_failed("m")), F.col("host"), shut)
     return marked.select("doc_id", "host", "m", "base_failed", (~F.col("base_failed") & F.col("found").isNull()).alias("kept"))
