@@ -70,9 +70,10 @@ def test_all_pairs_in_blocks(data):
     x, df = data
     unit = x / np.linalg.norm(x, axis=1, keepdims=True)
     sims = np.triu(unit @ unit.T, 1)
-    for block in (2048, 30):
+    for block in (2048, 30, 2):  # of 60 blocks some have no rows
         got = {r.vec_id: r for r in pairs.similarity_profile(df, block=block).collect()}
-        assert all(got[i].n_pairs == 119 - i and got[i].sum_cosine == pytest.approx(sims[i].sum()) for i in range(119))
+        assert all(got[i].n_pairs == 119 - i and got[i].sum_cosine == pytest.approx(sims[i].sum()) and got[i].max_cosine == pytest.approx(sims[i, i + 1 :].max()) for i in range(119))
+        assert got[119].n_pairs == 0 and got[119].max_cosine is None
     assert pairs.capped_pairs(df).count() == 200
 
 
