@@ -74,6 +74,11 @@ def test_all_pairs_in_blocks(data):
         got = {r.vec_id: r for r in pairs.similarity_profile(df, block=block).collect()}
         assert all(got[i].n_pairs == 119 - i and got[i].sum_cosine == pytest.approx(sims[i].sum()) and got[i].max_cosine == pytest.approx(sims[i, i + 1 :].max()) for i in range(119))
         assert got[119].n_pairs == 0 and got[119].max_cosine is None
+    gaps = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))[np.triu_indices(120, 1)]
+    for block in (2048, 30, 2):
+        row = pairs.mean_distance(df, block=block).first()
+        assert row.n_pairs == 7140 and row.mean_distance == pytest.approx(gaps.mean())
+    assert tuple(pairs.mean_distance(df.limit(0)).first()) == (0, 0.0)
     assert pairs.capped_pairs(df).count() == 200
 
 

@@ -7,7 +7,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import vectors as V
 from ..functions.constants import COSINE_ZERO
 from ..session import ship
 from .search import matrix
@@ -42,6 +41,14 @@ def with_larger(a: np.ndarray, a_ids: np.ndarray, b: np.ndarray, b_ids: np.ndarr
     return len(b) - place, (a * ends[place]).sum(1), np.clip(most, -1, 1)
 
 
+def dealt(df: DataFrame, column: str, block: int) -> DataFrame:
+    """(vec_id, v, b, i, j): each row, of block b, once for every pair (i, j) of blocks that its own is in; blocks are hashes of the id."""
+    blocks = max(1, -(-df.count() // block))
+    rows = df.select("vec_id", F.col(column).alias("v"), F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int").alias("b"))
+    other = F.sequence(F.lit(0), F.lit(blocks - 1))
+    return rows.select("vec_id", "v", "b", F.explode(other).alias("o")).select("vec_id", "v", "b", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"))
+
+
 def similarity_profile(df: DataFrame, column: str = "embedding", block: int = BLOCK) -> DataFrame:
     """(vec_id, n_pairs, sum_cosine, max_cosine) over the pairs of each row with all rows of larger vec_id.
 
@@ -49,10 +56,6 @@ def similarity_profile(df: DataFrame, column: str = "embedding", block: int = BL
     one row per vector and task leaves it. Vectors are shuffled in the type they have.
     """
     ship(df.sparkSession)
-    blocks = max(1, -(-df.count() // block))
-    rows = df.select("vec_id", F.col(column).alias("v"), F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int").alias("b"))
-    other = F.sequence(F.lit(0), F.lit(blocks - 1))
-    dealt = rows.select("vec_id", "v", "b", F.explode(other).alias("o")).select("vec_id", "v", "b", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"))
 
     def score(t: pa.Table) -> pa.Table:
         t = t.sort_by("vec_id")
@@ -62,17 +65,26 @@ def similarity_profile(df: DataFrame, column: str = "embedding", block: int = BL
         found = [(ids[x], *with_larger(unit[x], ids[x], unit[y], ids[y])) for x, y in sides]
         return pa.table(dict(zip(("vec_id", "n", "s", "m"), map(np.concatenate, zip(*found, strict=True)), strict=True)))
 
-    part = dealt.groupBy("i", "j").applyInArrow(score, "vec_id long, n long, s double, m double")
+    part = dealt(df, column, block).groupBy("i", "j").applyInArrow(score, "vec_id long, n long, s double, m double")
     sums = part.groupBy("vec_id").agg(F.sum("n").alias("n_pairs"), F.sum("s").alias("sum_cosine"), F.max("m").alias("m"))
     return sums.select("vec_id", "n_pairs", "sum_cosine", F.when(F.col("n_pairs") > 0, F.col("m")).alias("max_cosine"))
 
 
-def mean_distance(df: DataFrame, column: str = "embedding") -> DataFrame:
-    """(n_pairs, mean_distance): the mean Euclidean distance over all unordered pairs of a sample, 0 without a pair."""
-    v = F.col(column).cast("array<double>")
-    left, right = df.select(F.col("vec_id").alias("i"), v.alias("a")), df.select(F.col("vec_id").alias("j"), v.alias("b"))
-    both = left.join(F.broadcast(right), F.expr("i < j"))  # a sample is small: its size is a parameter of the sampler
-    return both.agg(F.count(F.lit(1)).alias("n_pairs"), F.coalesce(F.avg(V.euclidean(F.col("a"), F.col("b"))), F.lit(0.0)).alias("mean_distance"))
+def mean_distance(df: DataFrame, column: str = "embedding", block: int = BLOCK) -> DataFrame:
+    """(n_pairs, mean_distance): the mean Euclidean distance over all unordered pairs of rows of different id, 0 without a pair."""
+    ship(df.sparkSession)
+
+    def score(t: pa.Table) -> pa.Table:
+        ids, side, x = t.column("vec_id").to_numpy(), t.column("b").to_numpy(), matrix(t.column("v"))
+        i, j = t.column("i")[0].as_py(), t.column("j")[0].as_py()
+        one, two, n, total = np.flatnonzero(side == i), side == j, 0, 0.0
+        for r in one:
+            others = two & (ids > ids[r] if i == j else ids != ids[r])
+            n, total = n + int(others.sum()), total + float(np.sqrt(((x[others] - x[r]) ** 2).sum(1)).sum())
+        return pa.table({"n": [n], "s": [total]})
+
+    sums = dealt(df, column, block).groupBy("i", "j").applyInArrow(score, "n long, s double").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_pairs"), F.sum("s").alias("s"))
+    return sums.select("n_pairs", F.when(F.col("n_pairs") > 0, F.col("s") / F.col("n_pairs")).otherwise(F.lit(0.0)).alias("mean_distance"))
 
 
 def capped_pairs(df: DataFrame, rows: int = 50, pairs: int = 200) -> DataFrame:

@@ -18,6 +18,7 @@ from ..operators.linear import LinearCodec, golden_matrix, golden_relation
 from ..operators.pipeline import MODES, CompressionPipeline, byte_size
 from ..operators.pq import PQConfig, ProductQuantizer, lloyd_step
 from ..operators.rotation import Rotation, auto_scale, axes
+from ..session import materialise
 from ..sources import csv_vectors, registry, synthetic
 from . import evaluation, monitor, training
 
@@ -459,7 +460,7 @@ def validation_metrics(spark, sf_dir):
 t as (select 'linear' as mode, {4 * SMALL} as bytes, pair_id, s0 as x, s1 as y from j union all select 'full', {SUBVECTORS + 10}, pair_id, s0, s2 from j), k2 as (select mode, bytes, row_number() over (partition by mode order by x, pair_id) as rx, row_number() over (partition by mode order by y, pair_id) as ry from t)
 select mode, bytes::int as bytes, round(1 - 6 * sum((rx - ry) * (rx - ry))::double / (count(*)::double * (count(*)::double * count(*)::double - 1)), 6) as similarity_preservation from k2 group by mode, bytes""")
 def validation_modes(spark, sf_dir):
-    pq, ring_ = first_codebook(spark, sf_dir), training.as_pairs(vectors(spark, sf_dir)).persist()
+    pq, ring_ = first_codebook(spark, sf_dir), materialise(training.as_pairs(vectors(spark, sf_dir)), "ring")
     rows = []
     for mode in ("linear", "full"):
         pipeline = CompressionPipeline(small_codec(), "linear", pq)

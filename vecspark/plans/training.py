@@ -123,7 +123,7 @@ def train(pairs: DataFrame, config: TrainerConfig | None = None) -> Trained:
     for step, size in enumerate(sampling.sizes(available=n, **config.schedule) or [n]):
         now = time.time()
         ids = pick(learn.select(F.col("pair_id").alias("vec_id"), F.col("e1").alias("embedding")), size, config.seed + step)
-        sampled = learn.join(F.broadcast(ids.select(F.col("vec_id").alias("pair_id"))), "pair_id").orderBy("pair_id").limit(FIT_ROWS).select("e1").collect()
+        sampled = learn.join(ids.select(F.col("vec_id").alias("pair_id")), "pair_id").orderBy("pair_id").limit(FIT_ROWS).select("e1").collect()
         tried = LinearCodec(adapt(np.array([r[0] for r in sampled], float), codec.weights, config), True)
         on_train, on_check = evaluate(learn, tried), evaluate(check, tried)
         report.add_step(size, on_train, on_check, time.time() - now)
