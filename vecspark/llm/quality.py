@@ -8,8 +8,8 @@ HOST_LIMIT is rejected; the verdict is joined back to its documents.
 Native expressions only: words, windows and lines are arrays of one row, counted by
 sorting 64-bit hashes of the row's own windows. Texts are measured once; the counts are
 written to the shared folder and used for both the sums and the join. They are far smaller
-than the texts, so they are gathered into files of the advisory size first: a task of its own
-for each part of the texts does not leave a small file of its own. Sums per host are
+than the texts, so they are gathered into a file a core or a file for each FILE_INPUT bytes of
+the input, whichever is more: the many tasks over the texts leave no file each. Sums per host are
 partial in every task, so a host with a third of all rows is no hot group; only rejected
 hosts are joined back, by broadcast while they are few and salted beyond.
 
@@ -35,6 +35,8 @@ MIN_WORDS = 50
 REPEAT_PERCENT = 50
 #: A host is rejected when more than half of its documents are expected to fail a rule.
 HOST_LIMIT = 0.5
+#: Bytes of stored documents whose counts share a file, at least; their counts take a few per cent of that.
+FILE_INPUT = 1 << 30
 RULES = ("too_short", "repetitive", "symbols", "dup_lines")
 
 
@@ -95,10 +97,16 @@ def rejected_hosts(measured: DataFrame) -> DataFrame:
     return shrunk.where(F.col("rate") >= HOST_LIMIT).select("host").distinct()
 
 
+def gathered(rows: DataFrame, documents: DataFrame) -> DataFrame:
+    """``rows``, one small row for each of ``documents``, in few partitions of equal length."""
+    size = int(str(documents._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return rows.repartition(max(documents.sparkSession.sparkContext.defaultParallelism, -(-size // FILE_INPUT)))
+
+
 def judge(documents: DataFrame) -> DataFrame:
     """(doc_id, host, m, base_failed, kept): one row for each row of ``documents``."""
     rows = documents.select("doc_id", F.col("source").alias("host"), measures(F.col("text")).alias("m"))
-    measured = materialise(rows.hint("rebalance", "doc_id"), "quality")
+    measured = materialise(gathered(rows, documents), "quality")
     shut = rejected_hosts(measured).select(F.col("host").alias("key"), F.struct(F.lit(True).alias("shut")).alias("found"))
     marked = look_up(measured.withColumn("base_failed", base_failed("m")), F.col("host"), shut)
     return marked.select("doc_id", "host", "m", "base_failed", (~F.col("base_failed") & F.col("found").isNull()).alias("kept"))
