@@ -9,7 +9,8 @@ Native expressions only: words, windows and lines are arrays of one row, counted
 sorting 64-bit hashes of the row's own windows. Texts are measured once; the counts are
 written to the shared folder and used for both the sums and the join. They are far smaller
 than the texts, so they are gathered into a file a core or a file for each FILE_INPUT bytes of
-the input, whichever is more: the many tasks over the texts leave no file each. Sums per host are
+the input, whichever is more (a file a shuffle partition at most): the many tasks over the
+texts leave no file each. Sums per host are
 partial in every task, so a host with a third of all rows is no hot group; only rejected
 hosts are joined back, by broadcast while they are few and salted beyond.
 
@@ -98,9 +99,11 @@ def rejected_hosts(measured: DataFrame) -> DataFrame:
 
 
 def gathered(rows: DataFrame, documents: DataFrame) -> DataFrame:
-    """``rows``, one small row for each of ``documents``, in few partitions of equal length."""
+    """``rows``, one small row for each of ``documents``, in few partitions of equal length; as many as any shuffle has where the size of the input is not known."""
+    spark = documents.sparkSession
     size = int(str(documents._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return rows.repartition(max(documents.sparkSession.sparkContext.defaultParallelism, -(-size // FILE_INPUT)))
+    most = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(min(most, max(spark.sparkContext.defaultParallelism, -(-size // FILE_INPUT))))
 
 
 def judge(documents: DataFrame) -> DataFrame:
