@@ -600,9 +600,12 @@ def overfit_status(spark, sf_dir):
     return t.select("step", r6(gap).alias("gap"), monitor.overfit_status(gap).alias("status"))
 
 
-@query(f"""with b as (select i as vec_id, i % 10 as c, i // 10 as k from range(50) t(i)), j as (select vec_id, c, k, unnest(range(16)) as j from b),
+SQL_SYNTH = """with b as (select i as vec_id, i % 10 as c, i // 10 as k from range(50) t(i)), j as (select vec_id, c, k, unnest(range(16)) as j from b),
 x as (select *, sin(j * (0.1 + c * 0.03) + c * pi() / 5) * 0.5 + cos(j * (0.1 + c * 0.03) * 2.3 + c * pi() / 5 * 1.7) * 0.3 as raw from j), n as (select *, raw / sqrt(sum(raw * raw) over (partition by vec_id)) as centre from x),
-m as (select *, centre + (((vec_id * 1000 + j) * 1103515245 + 12345) % 2147483648 / 1073741824.0 - 1) * 0.3 + k * 0.1 * (((k * 100 + j) * 1103515245 + 12345) % 2147483648 / 1073741824.0 - 1) as y from n)
+m as (select *, centre + (((vec_id * 1000 + j) * 1103515245 + 12345) % 2147483648 / 1073741824.0 - 1) * 0.3 + k * 0.1 * (((k * 100 + j) * 1103515245 + 12345) % 2147483648 / 1073741824.0 - 1) as y from n)"""
+
+
+@query(f"""{SQL_SYNTH}
 select vec_id, j::int as dim, round(y / sqrt(sum(y * y) over (partition by vec_id)), 6) as value from m""")
 def synthetic_clusters(spark, sf_dir):
     return exploded(synthetic.clustered(spark, 16), "embedding").withColumn("value", r6(F.col("value")))

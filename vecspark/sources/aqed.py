@@ -6,6 +6,7 @@ by themselves (on mounted folders). Stores that only Spark opens: ``read_aqed_bi
 
 from __future__ import annotations
 
+import re
 import struct
 from collections.abc import Iterator
 
@@ -42,7 +43,7 @@ class _Range(InputPartition):
 
 class AqedReader(DataSourceReader):
     def __init__(self, path: str, rows: int):
-        self.path, self.rows = path.removeprefix("file://"), rows
+        self.path, self.rows = re.sub("^file:(//)?", "", path), rows
 
     def partitions(self) -> list[InputPartition]:
         with open(self.path, "rb") as f:

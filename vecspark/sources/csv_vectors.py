@@ -25,16 +25,16 @@ def has_id(line: Column) -> Column:
 
 
 def read_csv(spark: SparkSession, path: str, header: bool | None = None, id_column: bool | None = None) -> DataFrame:
-    """(vec_id, id, embedding). Blank lines are skipped; a bad number or an uneven row is an error that names its line."""
+    """(vec_id, id, embedding). Blank lines and repeats of the header are skipped; a bad number or an uneven row is an error that names its line."""
     raw = line_positions(spark.read.text(path)).select(F.col("vec_id").alias("line"), "value").where(F.length(F.trim("value")) > 0)
-    first = raw.orderBy("line").limit(2).select("line", looks_like_header(F.col("value")).alias("h"), has_id(F.col("value")).alias("i")).collect()
+    first = raw.orderBy("line").limit(2).select("line", "value", looks_like_header(F.col("value")).alias("h"), has_id(F.col("value")).alias("i")).collect()
     if not first:
         raise ValueError(f"no rows in {path}")
     header = first[0]["h"] if header is None else header
     if header and len(first) < 2:
         raise ValueError(f"no rows in {path}")
     with_id = first[1 if header else 0]["i"] if id_column is None else id_column
-    data = raw.where(F.col("line") > first[0]["line"]) if header else raw
+    data = raw.where(F.col("value") != first[0]["value"]) if header else raw  # each part of a folder has the header
     fields = _fields(F.col("value"))
     numbers = F.slice(fields, 2, F.size(fields) - 1) if with_id else fields
     parsed = data.select("line", F.trim(fields[0]).alias("id") if with_id else F.lit(None).cast("string").alias("id"), F.transform(numbers, lambda x: F.trim(x).try_cast("float")).alias("embedding"))

@@ -46,6 +46,17 @@ def with_weights(spark: SparkSession, folder: str) -> DataFrame:
     return spark.createDataFrame(rows, "position int, name string, input_dim int, output_dim int, spearman double, source string, pq_options array<int>, has_weights boolean, n_codebooks int")
 
 
+def codebooks(spark: SparkSession, folder: str) -> DataFrame:
+    """(name, input_dim, subvectors, bits, code_bytes, trained) of the files ``*.pqcb.json`` in a folder."""
+    from .weights import load_codebook
+
+    rows = []
+    for name in (f for f in listing(spark, folder) if f.endswith(".pqcb.json")):
+        pq = load_codebook(spark, f"{folder}/{name}")
+        rows.append((name, pq.config.input_dim, pq.config.n_subvectors, pq.config.bits, pq.config.code_bytes, pq.trained))
+    return spark.createDataFrame(rows, "name string, input_dim int, subvectors int, bits int, code_bytes int, trained boolean")
+
+
 def by_name(spark: SparkSession, name: str) -> DataFrame:
     return models(spark).where((F.col("name") == name) | (F.col("source") == name))
 
