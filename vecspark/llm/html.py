@@ -5,7 +5,8 @@ A page is a sequence of words and tags. Subtrees that announce themselves as fur
 are taken out and count as tags; of the rest words score positive and tags negative, with
 weights from labelled pages: log-odds of each kind of token inside and outside the main
 text. One linear scan finds the contiguous region with the largest sum; its words are the
-text. The labelled pages are few and fixed, so the weights are the same everywhere.
+text. The labelled pages are made by a fixed rule, besides a few written by hand, so the weights
+are the same everywhere.
 
 A name (class, id, role) takes a subtree out only while the page has a text without it: one
 that holds nearly all words outside links, with no main text elsewhere, keeps them whatever
@@ -23,10 +24,12 @@ from __future__ import annotations
 
 import html as references
 import math
+import random
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -70,7 +73,7 @@ LAYOUT = frozenset(("layout", "template", "free", "enabled", "disabled"))
 #: Elements of prose: in the main text only adverts among them go by name.
 PROSE = frozenset(("p", "dt", "dd", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "pre"))
 
-MILD, NEAR, FAR = -0.02, -0.2, -2.0
+MILD, NEAR, LEAST = -0.02, -0.2, 0.2
 
 _RAW = "|".join(RAW)
 _TOKEN = re.compile(
@@ -317,31 +320,27 @@ def learn(pages: tuple[tuple[str, str], ...]) -> dict[str, float]:
     """Weight of each kind of token from labelled (html, main text) pages.
 
     A run of text is inside when the main text holds it; a tag is inside when it stands
-    between the first and the last such run. Words outside links are kept positive, tags
-    negative: between NEAR and FAR, those within a line or the main element at NEAR or MILD.
+    between the first and the last such run. A token scores its log-odds, as a share of all
+    tokens inside and outside; only the signs are fixed: words outside links count at least
+    LEAST, tags and words of links at most NEAR, and tags of the main element MILD.
     """
     inside, outside = Counter(), Counter()
     for source, text in pages:
-        page = Page(source)
+        page = read(source)
         runs = {place: " ".join(page.text[int(place)][1].split()) for _, place in page.tokens if place is not None}
         marks = [i for i, (_, place) in enumerate(page.tokens) if place is not None and runs[place] and runs[place] in text]
         low, high = (marks[0], marks[-1]) if marks else (0, -1)
         for i, (kind, place) in enumerate(page.tokens):
             own = inside if low <= i <= high else outside
-            if place is None:
-                own[kind] += 1
-                own["<>"] += 1
-            else:
-                own[kind] += len(runs[place].split())
-    words = ("main", "word", "link")
-    n_in, n_out = sum(inside[k] for k in words) + 1, sum(outside[k] for k in words) + 1
-    odds = {k: math.log((inside[k] + 0.5) / n_in) - math.log((outside[k] + 0.5) / n_out) for k in {*inside, *outside, *words, "<>"}}
-    tag = lambda k, v: MILD if k == "<main>" else NEAR if k.strip("</>") in INLINE and k.strip("</>") != "a" else min(max(v - odds["word"], FAR), NEAR)
-    out = {k: tag(k, v) for k, v in odds.items() if k not in words}
-    return out | {"main": max(odds["main"], 1.0), "word": max(odds["word"], 0.2), "link": min(max(odds["link"], FAR), NEAR)}
+            own[kind] += 1 if place is None else len(runs[place].split())
+            own["<>"] += place is None and kind != "<main>"
+    kinds = {*inside, *outside, "main", "word", "link", "<main>", "<>"}
+    n_in, n_out = (sum(own.values()) - own["<>"] + 1 for own in (inside, outside))
+    odds = {k: math.log((inside[k] + 0.5) / n_in) - math.log((outside[k] + 0.5) / n_out) for k in kinds}
+    return {k: MILD if k == "<main>" else max(v, LEAST) if k in ("main", "word") else min(v, NEAR) for k, v in odds.items()}
 
 
-#: Labelled pages: html and its main text.
+#: Hand-labelled pages: html and its main text.
 LABELLED = (
     (
         "<html><body><div><a href=/>Home</a> <a href=/n>News</a> <a href=/s>Sport</a> <a href=/w>Weather</a></div><div><h1>River rises after a week of rain</h1><p>The river rose again on Monday, and the lower meadow is under water for the third time this year.</p><p>Farmers moved their sheep to the hill in good time, the council said, and no house was reached.</p></div><div><a href=1>Bridge closed</a><a href=2>School opens</a><a href=3>Market day</a></div></body></html>",
@@ -366,9 +365,68 @@ LABELLED = (
 )
 
 
+VOCABULARY = "river rain meadow farmer sheep hill council house bread flour water salt yeast oven note letter coast evening boat harbour tar morning wind museum drawing century frame box stairs road bridge school market".split()
+CAPTIONS = ("Tags", "Credit", "Views", "Page", "Section", "Updated", "Author", "Shop")
+#: Layouts of the made pages: block, heading, paragraph and item tags of the text; the tags of a list of links and of its items.
+TEXT_TAGS = (("div", "h1", "p", "li"), ("div", "h2", "p", "li"), ("section", "h1", "p", "blockquote"), ("td", "b", "p", "li"), ("div", "h1", "div", "div"), ("span", "h3", "p", "pre"))
+LINK_TAGS = (("ul", "li"), ("div", "span"), ("table", "td"), ("div", "div"), ("p", "b"), ("ol", "li"))
+MADE_PAGES = 300
+
+
+def made(n: int = MADE_PAGES, seed: int = 7) -> tuple[tuple[str, str], ...]:
+    """Labelled pages made by a rule: a text in one of several layouts among lists of links, short captions and lines of credit."""
+    draw, out = random.Random(seed), []
+    sentence = lambda low, high: " ".join(draw.choices(VOCABULARY, k=draw.randint(low, high))).capitalize() + "."
+    for _ in range(n):
+        block, heading, para, item = draw.choice(TEXT_TAGS)
+        parts, text = [], []
+
+        def put(tag: str, words: str, inner: str | None = None) -> None:
+            parts.append(f"<{tag}>{inner or words}</{tag}>")
+            text.append(words)
+
+        put(heading, sentence(3, 8))
+        for _ in range(draw.randint(1, 12)):
+            words = sentence(8, 60)
+            turn = draw.random()
+            if turn < 0.15:
+                first, rest = words.split(" ", 1)
+                put(para, words, f"<a href=x>{first}</a> {rest}" if turn < 0.1 else f"<em>{first}</em> {rest}")
+            elif turn < 0.25:
+                put(item, sentence(2, 8))
+            elif turn < 0.32:
+                put("h2", sentence(2, 5))
+            else:
+                put(para, words)
+
+        def links() -> str:
+            around, each = draw.choice(LINK_TAGS)
+            return f"<{around}>" + "".join(f"<{each}><a href=x>{' '.join(draw.choices(VOCABULARY, k=draw.randint(1, 6)))}</a></{each}>" for _ in range(draw.randint(2, 12))) + f"</{around}>"
+
+        def caption() -> str:
+            tag = draw.choice(("div", "span", "td", "h3", "li"))
+            return f"<div><{tag}>{' '.join(draw.choices(CAPTIONS, k=draw.randint(1, 3)))}</{tag}></div>"
+
+        def blurb() -> str:
+            return "".join(f"<div><div><a href=x>{sentence(3, 8)}</a></div><div><span>{' '.join(draw.choices(CAPTIONS, k=draw.randint(1, 12)))}</span></div></div>" for _ in range(draw.randint(1, 5)))
+
+        def margin() -> str:
+            return "".join(f"<div>{draw.choice((links, links, blurb, caption))()}</div>" for _ in range(draw.randint(1, 4)))
+
+        name = draw.choice(("", "", " class=box", " id=c1", " class=col-8"))
+        out.append((f"<html><body>{margin()}<{block}{name}>{''.join(parts)}</{block}>{margin()}</body></html>", " ".join(text)))
+    return tuple(out)
+
+
+@cache
+def learned() -> dict[str, float]:
+    """The weights of the operator, from the made pages and the hand-labelled ones."""
+    return learn((*made(), *LABELLED))
+
+
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars: one row for each row of ``pages``."""
-    weights = learn(LABELLED)
+    weights = learned()
     schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
