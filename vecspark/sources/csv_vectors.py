@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
+from ..session import ship
 from .files import line_positions
 
 
@@ -12,16 +16,22 @@ def _fields(line: Column) -> Column:
     return F.split(F.trim(line), ",", -1)
 
 
+def _number(field: Column, kind: str) -> Column:
+    """Null if it is none. C writes the sign of a NaN, which Spark's cast does not read."""
+    text = F.trim(field)
+    return F.coalesce(text.try_cast(kind), F.when(F.lower(text) == "-nan", F.lit(math.nan).cast(kind)))
+
+
 def looks_like_header(line: Column) -> Column:
     """More than half (whole division) of the first five fields are no numbers."""
     first = F.slice(_fields(line), 1, 5)
-    words = F.size(F.filter(first, lambda x: F.trim(x).try_cast("double").isNull()))
+    words = F.size(F.filter(first, lambda x: _number(x, "double").isNull()))
     return words > F.floor(F.size(first) / 2)
 
 
 def has_id(line: Column) -> Column:
     """The first field of a data row is no number."""
-    return F.trim(F.get(_fields(line), 0)).try_cast("double").isNull()
+    return _number(F.get(_fields(line), 0), "double").isNull()
 
 
 def read_csv(spark: SparkSession, path: str, header: bool | None = None, id_column: bool | None = None) -> DataFrame:
@@ -37,7 +47,7 @@ def read_csv(spark: SparkSession, path: str, header: bool | None = None, id_colu
     data = raw.where(F.col("value") != first[0]["value"]) if header else raw  # each part of a folder has the header
     fields = _fields(F.col("value"))
     numbers = F.slice(fields, 2, F.size(fields) - 1) if with_id else fields
-    parsed = data.select("line", F.trim(fields[0]).alias("id") if with_id else F.lit(None).cast("string").alias("id"), F.transform(numbers, lambda x: F.trim(x).try_cast("float")).alias("embedding"))
+    parsed = data.select("line", F.trim(fields[0]).alias("id") if with_id else F.lit(None).cast("string").alias("id"), F.transform(numbers, lambda x: _number(x, "float")).alias("embedding"))
     width = parsed.orderBy("line").select(F.size("embedding").alias("n")).first()["n"]
     bad = parsed.where(F.exists("embedding", lambda x: x.isNull()) | (F.size("embedding") != width)).orderBy("line").first()
     if bad is not None:
@@ -45,11 +55,30 @@ def read_csv(spark: SparkSession, path: str, header: bool | None = None, id_colu
     return line_positions(parsed.orderBy("line").select("id", "embedding")).select("vec_id", "id", "embedding")
 
 
+def _text(x: float | None) -> str:
+    """Six decimals of the exact value, ties to even, as C writes them (Java rounds ties up and fills large numbers with zeros)."""
+    if x is None:
+        return "null"
+    return "-nan" if math.isnan(x) and math.copysign(1, x) < 0 else "%.6f" % x
+
+
 def csv_lines(df: DataFrame) -> DataFrame:
     """(vec_id, line): six decimals, the id first when the frame has one."""
-    numbers = F.array_join(F.transform("embedding", lambda x: F.format_string("%.6f", x.cast("double"))), ",")
-    line = F.concat_ws(",", F.coalesce(F.col("id").cast("string"), F.lit("")), numbers) if "id" in df.columns else numbers
-    return df.select("vec_id", line.alias("line"))
+    ship(df.sparkSession)
+    ids = ["id"] if "id" in df.columns else []
+    rows = df.select("vec_id", *[F.col(c).cast("string").alias(c) for c in ids], F.col("embedding").cast("array<double>").alias("embedding"))
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            found = (v.values for v in batch["embedding"])
+            lines = [None if v is None else ",".join(map(_text, v.to_pylist() if v.null_count else v.to_numpy().tolist())) for v in found]
+            yield pa.record_batch([*batch.columns[:-1], pa.array(lines, pa.string())], names=[*batch.schema.names[:-1], "numbers"])
+
+    made = rows.mapInArrow(run, StructType([*rows.schema.fields[:-1], StructField("numbers", StringType())]))
+    line = F.concat_ws(",", F.coalesce("id", F.lit("")), "numbers") if ids else F.col("numbers")
+    return made.select("vec_id", line.alias("line"))
 
 
 def csv_header(dimension: int, with_id: bool) -> str:
