@@ -102,3 +102,30 @@ def test_components(spark):
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**dict.fromkeys(range(1, 61), 0), **dict.fromkeys(range(101, 140), 100), 201: 200}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_narrow_tables_leave_few_files(spark, tmp_path, monkeypatch):
+    documents(spark).coalesce(1).write.parquet(str(tmp_path / "documents"))
+    df, made, write = spark.read.parquet(str(tmp_path / "documents")), [], J.materialise
+    want = as_set(J.similar(df).collect())
+
+    def counted(table, name, path=None):
+        out = write(table, name, path)
+        made.append((name, len(out.inputFiles())))
+        return out
+
+    for module in ("common", "components", "jaccard"):
+        monkeypatch.setattr(f"vecspark.llm.{module}.materialise", counted)
+    monkeypatch.setattr("vecspark.session.materialise", counted)
+    held = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.adaptive.enabled": "false", "spark.sql.shuffle.partitions": "16"}
+    before = {k: spark.conf.get(k) for k in held}
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        assert as_set(J.similar(df).collect()) == want
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    narrow = [m for m in made if m[0] in ("edges", "clusters", "members", "links", "large")]
+    assert {n for n, _ in narrow} == {"edges", "clusters", "members", "links", "large"}
+    assert max(n for _, n in narrow) <= spark.sparkContext.defaultParallelism, narrow

@@ -9,9 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..session import let, materialise, positions, remove, scratch, shared_root, ship, tidy
+from ..session import files_for, let, materialise, positions, remove, scratch, shared_root, ship, tidy
 
-__all__ = ["BLANKS", "BLANK_RUN", "WORD", "let", "look_up", "map_arrow", "materialise", "n_words", "own_columns", "positions", "remove", "running", "scratch", "shared_root", "table", "tidy"]
+__all__ = ["BLANKS", "BLANK_RUN", "WORD", "files_for", "let", "look_up", "map_arrow", "materialise", "n_words", "own_columns", "positions", "remove", "running", "scratch", "shared_root", "table", "tidy"]
 
 #: A word is a run of anything but these six ASCII blanks; everything else, other Unicode blanks included, belongs to words.
 BLANKS = r"\x20\x09-\x0D"

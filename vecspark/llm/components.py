@@ -2,7 +2,8 @@
 
 The two steps (Kiveris, Lattanzi, Mirrokni, Rastogi and Vassilvitskii, 2014) are joins and
 minima over the edges; a star of any size is a partial aggregate and a skew-splittable
-join, never one group in a task. Each round is written to the shared folder.
+join, never one group in a task. Each round is written to the shared folder, gathered into
+``files`` files where given: its rows are two numbers each.
 """
 
 from __future__ import annotations
@@ -13,13 +14,13 @@ from pyspark.sql import functions as F
 from .common import materialise, remove, scratch
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, files: int | None = None) -> DataFrame:
     """(node, component) for every node of ``edges`` (a, b) but the smallest of each component; loops and nulls are ignored."""
     now = edges.select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).where("a is not null and b is not null and hi > lo").distinct()
     spark, path, mark = edges.sparkSession, None, None
     while True:
         held = scratch(spark, "edges")
-        now = materialise(now, "edges", held)
+        now = materialise(now.repartition(files) if files else now, "edges", held)
         if path:
             remove(spark, path)
         path = held

@@ -42,7 +42,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bloom
-from .common import map_arrow, materialise, own_columns, positions, remove, scratch, table
+from .common import files_for, map_arrow, materialise, own_columns, positions, remove, scratch, table
 from .components import components
 
 #: Sets above this size always go to the inverted lists; below, the cost decides. Subsets of a set grow beyond all lists
@@ -324,11 +324,11 @@ def scan(rows: list[tuple], num: int, den: int) -> Iterator[tuple[int, int, int]
         yield int(rep[d]), int(rep[root(d)]), int(links[d])
 
 
-def verify(documents: DataFrame, members: DataFrame, words: int, num: int, den: int) -> DataFrame:
+def verify(documents: DataFrame, members: DataFrame, words: int, num: int, den: int, files: int) -> DataFrame:
     """(a, b, links) of every block task; members: (rep, h1, h2, copies, n, cluster)."""
-    ordered = positions(members, ["cluster", "n", "rep", "h1"], "clusters")
+    ordered = positions(members, ["cluster", "n", "rep", "h1"], "clusters", files=files)
     starts = ordered.groupBy("cluster").agg(F.min("pos").alias("start"))
-    placed = materialise(ordered.join(starts, "cluster").withColumn("block", F.expr(f"cast((pos - start) div {BLOCK} as int)")).drop("pos", "start"), "members")
+    placed = materialise(ordered.join(starts, "cluster").withColumn("block", F.expr(f"cast((pos - start) div {BLOCK} as int)")).drop("pos", "start").repartition(files), "members")
     blocks = placed.groupBy("cluster", "block").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
     left, right = blocks.select("cluster", F.col("block").alias("i"), "hi"), blocks.select("cluster", F.col("block").alias("j"), "lo")
     # Blocks are in order of size, so a later block is too large altogether when its smallest set is.
@@ -371,6 +371,7 @@ def verify(documents: DataFrame, members: DataFrame, words: int, num: int, den:
 def grouped(documents: DataFrame, words: int, num: int, den: int) -> DataFrame:
     """doc_id, t (hash of the text), n_shingles, component_id, n_links: one row for each row of ``documents``."""
     spark, path = documents.sparkSession, scratch(documents.sparkSession, "sets")
+    files = files_for(documents)  # tables of a few numbers a document are gathered, whatever the number of tasks that make them
     wide = materialise(shingle_sets(documents, words, num, den), "sets", path)
     sets = materialise(wide.select("doc_id", "t", "n", "h1", "h2"), "keys")
     first = [F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), *[F.first(c).alias(c) for c in ("nu", "e", "whole")]]
@@ -385,18 +386,18 @@ def grouped(documents: DataFrame, words: int, num: int, den: int) -> DataFrame:
     edges = large_edges(classes, top, num, den)
     if top:
         edges = edges.unionByName(small_edges(classes, top, num, den))
-    clusters = components(edges)
+    clusters = components(edges, files)
     roots = clusters.select(F.col("component").alias("node")).distinct().withColumn("component", F.col("node"))
     clusters = clusters.unionByName(roots).select(F.col("node").alias("rep"), F.col("component").alias("cluster"))
     keys = classes.select("n", "h1", "h2", "rep", "copies")
-    found = materialise(verify(documents, keys.join(clusters, "rep"), words, num, den), "links")
+    found = materialise(verify(documents, keys.join(clusters, "rep"), words, num, den, files).repartition(files), "links")
 
-    joined = components(found.select("a", "b")).select(F.col("node").alias("rep"), "component")
+    joined = components(found.select("a", "b"), files).select(F.col("node").alias("rep"), "component")
     links = found.groupBy("a").agg(F.sum("links").alias("links")).withColumnRenamed("a", "rep")
     verdicts = keys.join(joined, "rep", "left").join(links, "rep", "left").select("n", "h1", "h2", "copies", F.coalesce("component", "rep").alias("component"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"))
     # Rows without a set need no join; the few classes that hold a large share of the rows are broadcast, so no key is hot.
     key, alone = ["n", "h1", "h2"], (F.col("n") == 0) | F.col("doc_id").isNull()
-    large = F.broadcast(materialise(verdicts.where(F.col("copies") > LARGE_CLASS * sets.count()), "large"))
+    large = F.broadcast(materialise(verdicts.where(F.col("copies") > LARGE_CLASS * sets.count()).repartition(1), "large"))
     named = sets.where(~alone)
     hot = named.join(large, key)
     others = named.join(large.select(*key), key, "left_anti").join(verdicts, key, "left")

@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 ROOT = str(Path(__file__).resolve().parent.parent)
+#: Bytes of an input whose small rows share a file, at least; they take a few per cent of that.
+FILE_INPUT = 1 << 30
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -76,6 +78,13 @@ def materialise(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def files_for(df: DataFrame) -> int:
+    """Files for a table of one small row for each of ``df``: one a core or for each FILE_INPUT bytes of ``df``, whichever is more; as many as any shuffle has where its size is not known."""
+    spark = df.sparkSession
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return min(int(spark.conf.get("spark.sql.shuffle.partitions")), max(spark.sparkContext.defaultParallelism, -(-size // FILE_INPUT)))
+
+
 def place(marked: DataFrame, out: str) -> DataFrame:
     """``marked`` (a written table with ``__at``: monotonically increasing ids) with ``out``: 0, 1, ... in their order.
 
@@ -88,14 +97,16 @@ def place(marked: DataFrame, out: str) -> DataFrame:
     return placed.withColumn(out, F.col("__base") + F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))).drop("__at", "__part", "__base")
 
 
-def positions(df: DataFrame, order: list, name: str = "ordered", out: str = "pos") -> DataFrame:
+def positions(df: DataFrame, order: list, name: str = "ordered", out: str = "pos", files: int | None = None) -> DataFrame:
     """``df`` with ``out``: 0, 1, ... in the order of ``order`` (names or columns); ties must be broken by it.
 
-    Rows are range-partitioned, so a group with a third of all rows is spread over tasks.
+    Rows are range-partitioned, so a group with a third of all rows is spread over tasks. The ordered
+    rows, whose places are in ``__at`` by then, are written to ``files`` files where it is given.
     """
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = df.repartitionByRange(parts, *order).sortWithinPartitions(*order)
-    return place(materialise(ordered.withColumn("__at", F.monotonically_increasing_id()), name), out)
+    marked = ordered.withColumn("__at", F.monotonically_increasing_id())
+    return place(materialise(marked.repartition(files) if files else marked, name), out)
 
 
 def let(value: Column, use) -> Column:
